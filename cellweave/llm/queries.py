@@ -5,19 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import bucket_of, table
+from .decontam import contaminated
+from .langid import language_id
 from .minhash import near_duplicates
+from .packing import packed
+from .secrets import secret_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 4) != 2)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op4_secret_scans, op6_minhash_near_dedup, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
