@@ -1,8 +1,59 @@
-"""The corpus pipeline."""
+"""Corpus pipeline: language ID, near-dedup, decontamination, secret redaction, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the rows for the next one; all but the
+last return the columns of documents. A stage judges every row that its predecessor kept.
+Stages mix learned profiles, hashing and sequential packing, which SQL does not express;
+tests/llm checks run() against a plain version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellweave.llm.common import saved, table
+from cellweave.llm.decontam import contaminated
+from cellweave.llm.langid import UNKNOWN, identify, learn
+from cellweave.llm.minhash import near_duplicates
+from cellweave.llm.packing import packed
+from cellweave.llm.secrets import redacted
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language can be told; profiles are learned from all rows with a lang."""
+    found = identify(docs, learn(docs), docs.columns)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group: the one with the smallest doc_id."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item."""
+    hits = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
+    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in their texts replaced by a mark."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of the remaining texts goes."""
+    return packed(docs)
+
+
+STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
