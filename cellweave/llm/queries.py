@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, table
 from .decontam import contaminated
+from .html import main_texts
 from .langid import language_id
 from .minhash import near_duplicates
 from .packing import packed
 from .secrets import secret_spans
+from .warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +27,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,7 +48,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op4_secret_scans, op6_minhash_near_dedup, op8_language_id)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_warc, op4_secret_scans, op5_html_extraction, op6_minhash_near_dedup, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
