@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .common import bucket_of, table
 from .decontam import contaminated
 from .html import main_texts
 from .langid import language_id
 from .minhash import near_duplicates
 from .packing import packed
+from .quality import quality_scores
 from .secrets import secret_spans
 from .warc import archived_pages
 
@@ -43,12 +45,20 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_balanced_posting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 4) != 2)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of(F.col("doc_id"), 5) == 0)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_warc, op4_secret_scans, op5_html_extraction, op6_minhash_near_dedup, op8_language_id)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_warc, op4_secret_scans, op5_html_extraction, op6_minhash_near_dedup, op7_balanced_posting_ann, op8_language_id, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
