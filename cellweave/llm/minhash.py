@@ -253,7 +253,10 @@ def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, sch
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text, ...)."""
+    """doc_id, n_shingles, component_id, kept, text_key for each row of docs (doc_id, text, ...).
+
+    text_key is a hash of the text; with doc_id it names the row's document.
+    """
     scheme = scheme or Scheme()
     rows = saved(signatures(docs, scheme), "signatures")
     classes = saved(
@@ -274,6 +277,19 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     known = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "set_b", "doc_id", F.coalesce("component", "id").alias("component"))
     first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = saved(known.join(first, "component").select(F.col("id").alias("set_a"), "set_b", "component_id"), "labels")
-    out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(known, ["set_a", "set_b"], "left")
+    out = rows.select("doc_id", "n_shingles", "set_a", "set_b", "text_key").join(known, ["set_a", "set_b"], "left")
     linked = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", linked.alias("component_id"), "text_key")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
+    """docs without near-duplicates: the kept rows, and of rows that repeat a document one."""
+    judged = saved(near_duplicates(docs, scheme).where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "judged")
+    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_key")]
+    named = judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
+    once = docs.join(named, key, "left_anti")
+    again = docs.join(named.where("kept"), key, "left_semi")
+    columns = docs.columns
+    first = again.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key")).agg(F.min(F.struct(*columns)).alias("row"))
+    return once.unionByName(first.select("row.*").select(*columns))
