@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import saved, table
 from cellweave.llm.decontam import contaminated
 from cellweave.llm.langid import UNKNOWN, identify, learn
-from cellweave.llm.minhash import near_duplicates
+from cellweave.llm.minhash import one_of_each
 from cellweave.llm.packing import packed
 from cellweave.llm.secrets import redacted
 
@@ -29,14 +29,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest doc_id."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
-    hits = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item; rows with one doc_id go together, those without one stay."""
+    hits = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
+    return docs.join(hits, F.col("doc_id") == F.col("_hit"), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
