@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample and large clusters are split until the
 balanced. Every vector is written to the list of its nearest centroid and, near a border,
 to those of further centroids whose distance is within a ratio of the nearest. A query
 finds its closest centroids by best-first search in an in-memory neighbour graph, and
-searches those lists whose centroid distance is within a ratio of the smallest.
+searches those lists whose centroid distance is within a ratio of the smallest. The first
+lists give the score that a vector must reach to be in the answer; the others are searched
+with that bound and hand on only what reaches it.
 
 Equal vectors are one entry that keeps as many of its smallest ids as an answer can need,
 so a large group of copies costs no more than one vector. A list with more entries than
@@ -121,12 +123,12 @@ def cosine(query: np.ndarray, others: np.ndarray) -> np.ndarray:
     return (others * query).sum(axis=1) / (np.sqrt((query * query).sum()) * np.sqrt((others * others).sum(axis=1)))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 128, sample_rows: int = 32_768, border: float = 1.08, replicas: int = 4, reach: float = 1.35, block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 256, sample_rows: int = 32_768, border: float = 1.08, replicas: int = 4, first_lists: int = 3, reach: float = 1.3, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row where is_query holds.
 
     list_size: aimed entries of a list. sample_rows: bound of the fitting sample. border,
     replicas: distance ratio and number of lists of a border vector. reach: distance ratio
-    of the lists that a query searches.
+    of the lists that a query searches; first_lists: how many of them set its bound.
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
@@ -155,19 +157,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 1
 
     def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, lists = [], []
+            at, lists, places = [], [], []
             for n, q in enumerate(unit(rows_of(b.column(1), dim))):
                 found, _ = graph.search(q, reach)
                 lists += found.tolist()
                 at += [n] * len(found)
-            yield pa.record_batch([pa.array(lists, pa.int64()), *(c.take(pa.array(at, pa.int64())) for c in b.columns)], names=["list", "query", "v"])
+                places += range(len(found))
+            yield pa.record_batch([pa.array(lists, pa.int64()), pa.array(places, pa.int32()), *(c.take(pa.array(at, pa.int64())) for c in b.columns)], names=["list", "place", "query", "v"])
 
     lists = saved(entries.mapInArrow(post, "list long, id long, ids array<long>, v array<float>"), "lists")
     parts = lists.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     asked = saved(rows.where(is_query).select("vec_id", "v").distinct(), "asked")
     asking = asked.groupBy("v").agg(F.min("vec_id").alias("query")).select("query", "v")
-    asking = asking.repartition(F.xxhash64("query")).mapInArrow(aim, "list long, query long, v array<float>")
-    asking = asking.join(F.broadcast(parts) if len(centres) <= sample_rows else parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "query", "v")
+    asking = asking.repartition(F.xxhash64("query")).mapInArrow(aim, "list long, place int, query long, v array<float>")
+    asking = saved(asking, "asking").join(F.broadcast(parts) if len(centres) <= sample_rows else parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "place", "part", "query", "v")
     dealt = lists.join(F.broadcast(parts) if len(centres) <= sample_rows else parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "ids", "v")
     found_schema = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -177,18 +180,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 1
             ids = right["ids"].to_pylist()
             vectors, queries = rows_of(right["v"].combine_chunks(), dim), rows_of(left["v"].combine_chunks(), dim)
             names, scaled, most = left["query"].to_numpy(), unit(vectors), min(len(ids), 2 * k + 6)
+            least = left["least"].to_numpy()
             for at in range(0, len(queries), 1024):
                 near = unit(queries[at : at + 1024]) @ scaled.T
                 top = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                for n, choice in enumerate(top):
+                for n in np.flatnonzero(near.max(axis=1) >= least[at : at + 1024] - 1e-9):
+                    choice = top[n]
                     score = cosine(queries[at + n], vectors[choice])
-                    flat = sorted((-s, i) for s, c in zip(score.tolist(), choice.tolist()) for i in ids[c])[: k + 1]
+                    flat = sorted((-s, i) for s, c in zip(score.tolist(), choice.tolist()) for i in ids[c] if s >= least[at + n])[: k + 1]
                     out.append((np.full(len(flat), names[at + n]), np.array([i for _, i in flat]), np.array([-s for s, _ in flat])))
         return pa.table([np.concatenate([o[c] for o in out]) if out else [] for c in range(3)], schema=found_schema)
 
-    found = asking.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(compare, "query long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top = found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    def search(asking: DataFrame) -> DataFrame:
+        return asking.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(compare, "query long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        return found.groupBy("query", "vec_id").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+
+    near = saved(best(search(asking.where(F.col("place") < first_lists).withColumn("least", F.lit(-2.0)))), "near")
+    bound = near.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).otherwise(-2.0).alias("least"))
+    far = search(asking.where(F.col("place") >= first_lists).join(bound, "query"))
+    top = best(near.drop("n").unionByName(far)).drop("n")
     back = asked.join(asking_ids(asked), "v").select("vec_id", "query").withColumnRenamed("vec_id", "query_id")
     out = back.join(top, "query").where("vec_id <> query_id")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

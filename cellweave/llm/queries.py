@@ -16,6 +16,7 @@ from .minhash import near_duplicates
 from .packing import packed
 from .quality import quality_scores
 from .secrets import secret_spans
+from .substring import repeated_passages
 from .warc import archived_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,12 +54,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), bucket_of(F.col("doc_id"), 4) != 2)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket_of(F.col("doc_id"), 5) == 0)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_warc, op4_secret_scans, op5_html_extraction, op6_minhash_near_dedup, op7_balanced_posting_ann, op8_language_id, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_best_fit_packing, op3_warc, op4_secret_scans, op5_html_extraction, op6_minhash_near_dedup, op7_balanced_posting_ann, op8_language_id, op9_substring_dedup, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
