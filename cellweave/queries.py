@@ -495,9 +495,11 @@ def weighted_features(spark, d):
 # Splits, samples, models -----------------------------------------------------
 
 
-@query("SELECT cell, CASE WHEN p < 700 THEN 'train' WHEN p < 800 THEN 'val' ELSE 'test' END AS split FROM (SELECT c_custkey AS cell, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS p FROM customer)")
+@query("SELECT cell, CASE WHEN p < n // 2 THEN 'train' WHEN p < n // 2 + n // 10 THEN 'val' ELSE 'test' END AS split FROM (SELECT c_custkey AS cell, ROW_NUMBER() OVER (ORDER BY c_custkey) - 1 AS p, COUNT(*) OVER () AS n FROM customer)")
 def split_data(spark, d):
-    return parts(spark, d).with_split_sizes(700, 100).splits.select("cell", "split")
+    f = parts(spark, d)
+    n = f.num_cells
+    return f.with_split_sizes(n // 2, n // 10).splits.select("cell", "split")
 
 
 @query("SELECT c_custkey AS cell, CASE WHEN c_nationkey < 10 THEN 0 ELSE 1 END AS batch FROM customer")
