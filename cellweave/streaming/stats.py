@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_stats(events: DataFrame, time: str, keys: list[str], value: str, length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, keys..., n, total, squares): mergeable sums per window; also for static tables."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if rows.isStreaming else rows
     out = rows.groupBy(F.window(time, length).alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col(value) ** 2).alias("squares"))
     return out.select(F.col("w.start").alias("start"), *keys, "n", "total", "squares")
 
