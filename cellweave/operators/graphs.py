@@ -33,8 +33,8 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, itself
     """
     queries = vectors if queries is None else queries
     n_q, n_v = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // block))
-    q = queries.select(F.col("cell").alias("id"), "vec", F.pmod(F.xxhash64("cell"), F.lit(n_q)).alias("i"))
-    v = vectors.select(F.col("cell").alias("id"), "vec", F.pmod(F.xxhash64("cell"), F.lit(n_v)).alias("j"))
+    q = queries.select(F.col("cell").alias("id"), F.col("vec").alias("vec"), F.pmod(F.xxhash64("cell"), F.lit(n_q)).alias("i"))
+    v = vectors.select(F.col("cell").alias("id"), F.col("vec").alias("vec"), F.pmod(F.xxhash64("cell"), F.lit(n_v)).alias("j"))
     q = q.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
     v = v.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 

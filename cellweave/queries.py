@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .frame import AnnotatedFrame
 from .functions import metrics
-from .operators import features, filters, graphs, models, normalize, ordering, sampling, similarity, stats, transforms
+from .operators import features, filters, graphs, models, normalize, ordering, sampling, selection, similarity, spatial, stats, transforms
+from .plans import results
 from .plans.pipeline import Pipeline
 from .sources.readers import from_events
 from .streaming.stats import merged, windowed_stats
@@ -675,3 +676,121 @@ def windowed_event_stats(spark, d):
 def merged_event_stats(spark, d):
     s = merged(windowed_stats(read(spark, d, "events")[0], "ts", ["event_type"], "value"), ["event_type"])
     return s.select("event_type", "n", *r6("mean"), F.round("std", 5).alias("std"))
+
+
+# Spatial weights, matching, selection ----------------------------------------
+
+
+@query(f"WITH {X}, t AS (SELECT c_custkey AS cell, COALESCE(SUM(value), 0) AS t FROM customer LEFT JOIN x ON cell = c_custkey GROUP BY 1) SELECT cell, ROUND(t / SUM(t) OVER (), 9) AS density FROM t")
+def tangram_density(spark, d):
+    f = parts(spark, d)
+    return spatial.density(f.x, f.obs, "rna_count").select("cell", F.round("density", 9).alias("density"))
+
+
+@query(f"WITH {_KNN}, m AS (SELECT *, AVG(distance) OVER w + STDDEV_POP(distance) OVER w AS m FROM k WINDOW w AS (PARTITION BY src)) SELECT src, dst, ROUND(1 / (distance + 1e-16), 5) AS weight FROM m WHERE distance <= m")
+def pruned_knn(spark, d):
+    return spatial.pruned(graphs.nearest(vectors(spark, d).drop("label"), 10)).select("src", "dst", F.round("weight", 5).alias("weight"))
+
+
+@query(f"WITH {_RADIUS} SELECT ROUND(SUM(EXP(-POWER(distance, 2) / (2 * 0.02 * 0.02))) / (SELECT COUNT(*) FROM q), 6) AS p FROM r WHERE src <> dst")
+def spatial_row_mass(spark, d):
+    p = points(spark, d)
+    return spatial.row_mass(graphs.within_radius(p, 0.05), p.count(), 0.02).select(*r6("p"))
+
+
+@query()
+def spatial_length_scale(spark, d):
+    p = points(spark, d)
+    found = spatial.length_scale(graphs.within_radius(p, 0.05), p.count(), 0.5, high=1.0)
+    return spark.createDataFrame([(float(found),)], "length double")
+
+
+@query(f"WITH {_RADIUS}, s AS (SELECT COUNT(*) AS n FROM q WHERE label = 3) SELECT b.label, COUNT(*) AS links FROM r JOIN q a ON a.cell = src AND a.label = 3 JOIN q b ON b.cell = dst WHERE b.label <> 3 GROUP BY 1 HAVING COUNT(*) > 0.5 * (SELECT n FROM s)")
+def neighbour_clusters(spark, d):
+    p = points(spark, d)
+    return spatial.neighbour_clusters(graphs.within_radius(p, 0.05), p.select("cell", "label"), 3)
+
+
+@query(f"WITH {_KNN}, v AS (SELECT cell, UNNEST(RANGE(64)) AS gene, UNNEST(vec) AS value FROM e) SELECT a.cell, a.gene, ROUND(ANY_VALUE(a.value) + 0.2 * AVG(b.value), 6) AS value FROM v a JOIN k ON a.cell = src AND rank <= 5 JOIN v b ON b.cell = dst AND b.gene = a.gene GROUP BY 1, 2")
+def spatial_augment(spark, d):
+    x, edges, _ = _spatial(spark, d)
+    return spatial.augmented(x, edges).select("cell", F.col("gene").cast("long").alias("gene"), *r6("value"))
+
+
+@query(f"WITH {B}, {CELLS}, o AS (SELECT batch, gene, AVG(value) AS m, STDDEV_POP(value) AS s FROM x JOIN cells USING (cell) GROUP BY 1, 2), w AS (SELECT gene, AVG(value) AS am, STDDEV_POP(value) AS sd FROM x GROUP BY 1) SELECT cell, gene, ROUND(COALESCE((value - m) / NULLIF(s, 0), 0) * sd + am, 4) AS value FROM x JOIN cells USING (cell) JOIN o USING (batch, gene) JOIN w USING (gene)")
+def batch_adjust(spark, d):
+    f = brands(spark, d)
+    return spatial.batch_adjusted(f.x, f.obs, "batch").select("cell", "gene", F.round("value", 4).alias("value"))
+
+
+@query(f"WITH {B}, {CELLS}, m AS (SELECT gene, SUM(value) / (SELECT n FROM n) AS m, SQRT(SUM(value * value) / (SELECT n FROM n) - POWER(SUM(value) / (SELECT n FROM n), 2)) AS s FROM x GROUP BY 1), g AS (SELECT DISTINCT SUBSTR(p_brand, 1, LENGTH(p_brand) - 1) AS pathway, p_brand AS gene FROM part), c AS (SELECT a.gene AS src, b.gene AS dst, SUM(a.value * b.value) / (SELECT n FROM n) AS p FROM x a JOIN x b USING (cell) JOIN g u ON u.gene = a.gene JOIN g v ON v.gene = b.gene AND u.pathway = v.pathway WHERE a.gene < b.gene GROUP BY 1, 2) SELECT src, dst, ROUND((p - u.m * v.m) / (u.s * v.s), 6) AS weight FROM c JOIN m u ON u.gene = src JOIN m v ON v.gene = dst WHERE ABS((p - u.m * v.m) / (u.s * v.s)) >= 0.1")
+def gene_set_graph(spark, d):
+    f = brands(spark, d)
+    sets = f.var.select(F.expr("substring(gene, 1, length(gene) - 1)").alias("pathway"), "gene")
+    return spatial.gene_set_graph(f.x, sets, f.num_cells, 0.1).select("src", "dst", *r6("weight"))
+
+
+@query()
+def modality_matching(spark, d):
+    v = vectors(spark, d)
+    side = lambda k, c: v.where(F.col("cell") % 2 == k).select((F.col("cell") % 100).alias("h"), F.col("cell").alias(c), F.col("vec").alias(f"{c}_vec"))
+    pairs = side(0, "a").withColumn("batch", F.floor(F.col("h") / 2)).join(side(1, "b").withColumn("batch", F.floor(F.col("h") / 2)).drop("h"), "batch")
+    return spatial.matched(pairs.select("batch", "a", "b", graphs.dot("a_vec", "b_vec").alias("score")))
+
+
+@query()
+def link_pairs(spark, d):
+    return spatial.random_pairs(vectors(spark, d).select("cell", "label"), 500)
+
+
+@query(f"WITH {X}, {CELLS}, s AS (SELECT gene, AVG(LOG2(value)) AS m, 1 - COUNT(*) / (SELECT n FROM n) AS z FROM x GROUP BY 1 HAVING COUNT(*) >= 10), o AS (SELECT gene, m + LN(z - 0.02) / 1.5 AS v FROM s WHERE z > 0.02) SELECT gene, ROUND(v, 6) AS value FROM o ORDER BY v DESC, gene LIMIT 100")
+def genes_by_dropout(spark, d):
+    f = parts(spark, d)
+    return selection.by_dropout(f.x, f.num_cells, 100).select("gene", F.round("offset", 6).alias("value"))
+
+
+@query()
+def hvg_clipped_variance(spark, d):
+    f = parts(spark, d)
+    return selection.clipped_variances(f.x, f.var, f.num_cells).select("gene", *r6("score"))
+
+
+@query()
+def marker_tests(spark, d):
+    f = brands(spark, d)
+    return selection.marker_tests(f.x, f.obs, "cell_type", least_fold=-1.0, inside=0.1, outside=1.1, level=1.1)
+
+
+@query()
+def doublet_scores(spark, d):
+    f = brands(spark, d)
+    made = lambda x, cells: features.projected(transforms.dense(f.replace(x=normalize.total_log1p(x, 1e4, 1.0), obs=cells)), 8)
+    return selection.doublet_scores(f.x, f.obs, made)
+
+
+@query("WITH r AS (SELECT c_mktsegment AS g, RANK() OVER (ORDER BY c_acctbal) + (COUNT(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS rk FROM customer), s AS (SELECT SUM(s * s / k) AS h, SUM(k) AS n FROM (SELECT SUM(rk) AS s, COUNT(*) AS k FROM r GROUP BY g)), t AS (SELECT SUM(POWER(t, 3) - t) AS t FROM (SELECT COUNT(*) AS t FROM customer GROUP BY c_acctbal)) SELECT ROUND((12 * h / (n * (n + 1)) - 3 * (n + 1)) / (1 - t / (POWER(n, 3) - n)), 5) AS h FROM s, t")
+def kruskal_wallis(spark, d):
+    rows = read(spark, d, "customer")[0]
+    return selection.kruskal(rows, "c_mktsegment", "c_acctbal").select(F.round("h", 5).alias("h"))
+
+
+# Mining of results: customers stand for runs, their balance for the score -----
+
+
+@query()
+def frequent_choices(spark, d):
+    runs = read(spark, d, "customer")[0].select(F.array(F.concat(F.lit("segment="), "c_mktsegment"), F.concat(F.lit("nation="), F.col("c_nationkey").cast("string"))).alias("items"), "c_acctbal")
+    return results.frequent_choices(runs, "items", "c_acctbal", 0.2, 0.05).select(F.array_join(F.sort_array("items"), ",").alias("items"), "freq")
+
+
+@query("WITH r AS (SELECT c_nationkey AS data, c_mktsegment AS method, c_acctbal AS score, c_custkey % 2 AS fresh FROM customer), o AS (SELECT data, method, MAX(score) AS score FROM r WHERE fresh = 0 GROUP BY 1, 2), n AS (SELECT data, method, MAX(score) AS score FROM r WHERE fresh = 1 GROUP BY 1, 2) SELECT data, method, GREATEST(o.score, n.score) AS score FROM o FULL JOIN n USING (data, method)")
+def result_upsert(spark, d):
+    runs = read(spark, d, "customer")[0].select(F.col("c_nationkey").alias("data"), F.col("c_mktsegment").alias("method"), F.col("c_acctbal").alias("score"), F.col("c_custkey").alias("key"))
+    half = lambda k: results.best_runs(runs.where(F.col("key") % 2 == k), ["data", "method"], "score").drop("key")
+    return results.upserted(half(0), half(1), ["data", "method"], "score")
+
+
+@query("WITH p AS (SELECT c_nationkey AS query, c_mktsegment AS atlas, AVG(c_acctbal) AS f, COUNT(*) AS k FROM customer GROUP BY 1, 2), s AS (SELECT query, atlas, 0.7 * f + 0.3 * k AS score, ROW_NUMBER() OVER (PARTITION BY query ORDER BY 0.7 * f + 0.3 * k DESC, atlas) AS i FROM p) SELECT query, atlas, ROUND(score, 5) AS score FROM s WHERE i = 1")
+def similarity_weight_choice(spark, d):
+    pairs = read(spark, d, "customer")[0].groupBy(F.col("c_nationkey").alias("query"), F.col("c_mktsegment").alias("atlas")).agg(F.avg("c_acctbal").alias("feature"), F.count("*").cast("double").alias("metadata"))
+    return results.weighted_choice(pairs, 0.7).select("query", "atlas", F.round("score", 5).alias("score"))
