@@ -80,25 +80,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class _Numbered(dict):
+    """Numbers keys as they are first looked up, and keeps the hashes of new ones."""
+
+    def __init__(self) -> None:
+        self.fresh: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(xxhash.xxh3_64_intdigest(word))
+        return n
+
+
 class WordHasher:
     """64-bit hashes of words, remembered for repeated words; the memory is emptied when it is full."""
 
     def __init__(self, most: int = 400_000):
-        self.known: dict[bytes, int] = {}
         self.most = most
+        self.known, self.table, self.size = _Numbered(), np.empty(4096, dtype=np.uint64), 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        get, digest = known.get, xxhash.xxh3_64_intdigest
-        out = []
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out.append(h)
-        return np.array(out, dtype=np.uint64)
+        if len(self.known) > self.most:
+            self.known, self.size = _Numbered(), 0
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        if fresh := self.known.fresh:
+            size = self.size + len(fresh)
+            if size > len(self.table):
+                self.table = np.concatenate([self.table, np.empty(size, dtype=np.uint64)])
+            self.table[self.size : size] = np.array(fresh, dtype=np.uint64)
+            self.size = size
+            fresh.clear()
+        return self.table[at]
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
