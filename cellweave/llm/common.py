@@ -9,7 +9,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,37 +79,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Numbered(dict):
-    """Numbers keys as they are first looked up, and keeps the hashes of new ones."""
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = np.random.default_rng(29).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self) -> None:
-        self.fresh: list[int] = []
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(xxhash.xxh3_64_intdigest(word))
-        return n
+class WordHasher:
+    """64-bit hashes of the words of a text, in order, without a loop over words.
 
+    Words lie between ASCII white space, with A-Z in lower case. A word's hash is a
+    polynomial of its bytes modulo 2^64, from prefix sums over the text, which are then
+    shifted to the word's start by the inverse power, and finalised with its length.
+    """
 
-class WordHasher:
-    """64-bit hashes of words, remembered for repeated words; the memory is emptied when it is full."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-        self.known, self.table, self.size = _Numbered(), np.empty(4096, dtype=np.uint64), 0
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known, self.size = _Numbered(), 0
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        if fresh := self.known.fresh:
-            size = self.size + len(fresh)
-            if size > len(self.table):
-                self.table = np.concatenate([self.table, np.empty(size, dtype=np.uint64)])
-            self.table[self.size : size] = np.array(fresh, dtype=np.uint64)
-            self.size = size
-            fresh.clear()
-        return self.table[at]
+    def __init__(self) -> None:
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n > len(self.powers):
+            n = max(n, 2 * len(self.powers), 1 << 14)
+            step = np.full(n, _BASE, dtype=np.uint64)
+            back = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+            step[0] = back[0] = 1
+            self.powers, self.inverses = np.multiply.accumulate(step), np.multiply.accumulate(back)
+
+    def __call__(self, text: str | None, block: int = 1 << 20) -> np.ndarray:
+        if not text:
+            return np.empty(0, dtype=np.uint64)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+        edge = np.diff(np.concatenate([[True], _SPACE[raw], [True]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        cuts = np.unique(np.concatenate([np.searchsorted(starts, np.arange(0, len(raw), block)), [len(starts)]]))
+        out = [np.empty(0, dtype=np.uint64)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            low, high = starts[i], ends[j - 1]
+            self.grow(int(high - low))
+            sums = np.zeros(high - low + 1, dtype=np.uint64)
+            np.cumsum(_BYTES[raw[low:high]] * self.powers[: high - low], out=sums[1:])
+            s, e = starts[i:j] - low, ends[i:j] - low
+            out.append(mix((sums[e] - sums[s]) * self.inverses[s] + (e - s).astype(np.uint64)))
+        return np.concatenate(out)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -125,11 +134,6 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case, as UTF-8."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that each holds about most_bytes (one row at least)."""
     for b in batches:

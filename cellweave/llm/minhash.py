@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, connected_components, mix, saved, shingle_hashes, slices, WordHasher
+from .common import connected_components, mix, saved, shingle_hashes, slices, WordHasher
 
 FEATURES = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary"
 
@@ -63,7 +63,7 @@ class Scheme:
 
     def shingles(self, text: str | None, hasher: WordHasher) -> np.ndarray:
         """Sorted distinct shingle hashes of a whole text."""
-        return np.unique(shingle_hashes(hasher(ascii_words(text)), self.words))
+        return np.unique(shingle_hashes(hasher(text), self.words))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         low = np.full(len(self.xor), 0xFFFFFFFF, dtype=np.uint32)
