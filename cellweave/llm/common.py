@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _OWN:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="cellweave-")
+        folder = tempfile.mkdtemp(prefix="cellweave-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = f"file://{folder}"
     return _OWN[app]
 
 

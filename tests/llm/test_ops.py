@@ -109,6 +109,15 @@ def test_components(spark):
     assert {(r.node, r.component) for r in common.connected_components(links).collect()} == {(1, 1), (2, 1), (3, 1), (9, 1), (5, 5), (6, 5)}
 
 
+def test_word_hashes_equal_splitting():
+    rng, hasher, seen = random.Random(4), common.WordHasher(), {}
+    texts = ODD + ["x" * 50] + ["".join(rng.choice("abAB \t\n\x1c\xa0é \U0001f600") for _ in range(rng.randrange(60))) for _ in range(500)]
+    for t, block in itertools.product(texts, (1 << 20, 7)):
+        plain, got = (t or "").encode().lower().split(), hasher(t, block).tolist()
+        assert len(plain) == len(got) and all(seen.setdefault(w, h) == h for w, h in zip(plain, got))
+    assert len(set(seen.values())) == len(seen)
+
+
 # Language --------------------------------------------------------------------
 
 
