@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import saved, table
 from cellweave.llm.decontam import contaminated
 from cellweave.llm.langid import UNKNOWN, identify, learn
-from cellweave.llm.minhash import one_of_each
+from cellweave.llm.minhash import Scheme, one_of_each
 from cellweave.llm.packing import packed
 from cellweave.llm.secrets import redacted
 
@@ -28,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the one with the smallest doc_id."""
-    return one_of_each(docs)
+    """One row of each near-duplicate group, at 5-word shingles and 0.8: the one with the smallest doc_id."""
+    return one_of_each(docs, Scheme(percent=80, words=5, bands=36, rows=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
