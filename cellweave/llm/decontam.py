@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark is the stated query set. It is taken in blocks of bounded size; for each
-block one scan of the documents counts in how many of them each item n-gram occurs, and
-a second scan finds, document by document, the items whose matched n-grams are rare
-enough together (their information in bits, by those counts), and aligns each with the
-stretches of the document that hold them. Nothing but counts is shuffled.
+block one scan finds, document by document, the items with a matched n-gram, and aligns
+each with the stretches of the document that hold one, unless too few of the item's words
+occur in a stretch for the score. How often other documents hold an item does not matter,
+unless a caller asks for a gate by rarity: then a scan before counts in how many documents
+each n-gram occurs. Nothing but counts is shuffled.
 
 Words are lower-cased, ASCII punctuation parts them. Defined cases: null or wordless
 items and documents match nothing; an item shorter than the n-gram is sought as a whole;
@@ -106,7 +107,7 @@ class ItemBlock:
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         return np.concatenate(found_at), np.concatenate(found)
 
-    def matches(self, ids: np.ndarray, least_bits: float, least_grams: int, score: float) -> list[tuple]:
+    def matches(self, ids: np.ndarray, least_bits: float | None, least_grams: int, score: float) -> list[tuple]:
         """(item, score in 0..1, first word, end word) of the items that reach the score in a document."""
         at, gram = self.hits(ids)
         if not len(at):
@@ -115,16 +116,20 @@ class ItemBlock:
         owner = self.owner[np.repeat(self.starts[gram], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
         at, gram = np.repeat(at, size), np.repeat(gram, size)
         pair = np.unique(owner * len(self.codes) + gram)
-        of, bits = pair // len(self.codes), self.bits[pair % len(self.codes)]
-        total = np.bincount(of, weights=bits, minlength=len(self.items))
+        of = pair // len(self.codes)
         several = np.bincount(of, minlength=len(self.items))
+        taken = several >= least_grams
+        if self.bits is not None:
+            taken |= np.bincount(of, weights=self.bits[pair % len(self.codes)], minlength=len(self.items)) >= least_bits
         out = []
-        for k in np.flatnonzero((total >= least_bits) | (several >= least_grams)):
+        for k in np.flatnonzero(taken):
             item = self.items[k]
             spots = np.unique(at[owner == k])
             best = (0, 0, 0)
             for group in np.split(spots, np.flatnonzero(np.diff(spots) > len(item)) + 1):
                 low, high = max(0, group[0] - len(item)), min(len(ids), group[-1] + self.n + len(item))
+                if np.isin(item, ids[low:high]).sum() < max(score * len(item), best[0] / 2):
+                    continue
                 got = align(item, ids[low:high])
                 if got[0] > best[0]:
                     best = (got[0], low + got[1], low + got[2])
@@ -167,17 +172,18 @@ def _weigh(docs: DataFrame, block: ItemBlock) -> None:
     block.bits = np.log2((counts[-1] + 1) / (counts[:-1] + 1))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least_bits: float = 8.0, least_grams: int = 4, score: float = 0.5, block_words: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least_bits: float | None = None, least_grams: int = 1, score: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each benchmark item that a document holds.
 
-    score is the alignment score over that of a perfect copy; least_bits and least_grams
-    say how much matched n-grams must tell, or how many there must be, before an item is
-    aligned. block_words bounds what is sent to the tasks at once.
+    score is the alignment score over that of a perfect copy. An item is aligned if
+    least_grams of its n-grams are matched (by default one) or, where least_bits is given,
+    matched ones tell so much. block_words bounds what is sent to the tasks at once.
     """
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark, n, block_words):
-        _weigh(docs, block)
+        if least_bits is not None:
+            _weigh(docs, block)
 
         def run(batches: Iterator[pa.RecordBatch], block: ItemBlock = block) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
