@@ -4,8 +4,9 @@ Base spans are assignments, access identifiers and long hexadecimal runs. Beside
 kinds of weak parts are looked for: identifiers (user or client names that are assigned),
 secrets (short assigned values and unmarked mixed tokens) and endpoints (addresses and
 assigned hosts). Within a scope (text between blank lines) parts are joined as intervals,
-each widened by `reach`: a weak secret is reported if an identifier or access key lies
-near it; a weak identifier or endpoint if a secret does, weak or base.
+each widened by `reach`: a weak secret is reported if an identifier, access key or endpoint
+lies near it; a weak identifier or endpoint if a secret does, weak or base. An unmarked
+token within an address is a part of it, so an endpoint is no complement of it.
 
 Offsets count code points, ends are exclusive. Defined cases: null text counts as empty;
 an empty text has no spans; each row is scanned by itself, also where a doc_id repeats;
@@ -30,7 +31,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 NAMED = re.compile(r"""\b(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 ADDRESS = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|\b(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::\d+)?""", re.I | re.A)
 SCOPE = re.compile(r"\n[ \t\r]*\n")
 
@@ -76,13 +77,13 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
     covered = [(s, e) for s, _, e in base]
     taken = Near(covered)
     apart = lambda s, e: not taken.any(s + 1, e - 1, 0)
-    weak = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if 4 <= m.end() - m.start(2) < 8]
+    marked = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if 4 <= m.end() - m.start(2) < 8]
     names = [(m.start(), m.end()) for m in NAMED.finditer(text)]
     places = [(m.start(), m.end()) for m in ADDRESS.finditer(text)]
     access = [(s, e) for s, kind, e in base if kind == "access"]
-    if names or access:
-        weak += [(m.start(), m.end()) for m in MIXED.finditer(text) if is_mixed(m.group())]
-    weak = [(s, e) for s, e in weak if apart(s, e)]
+    mixed = [(m.start(), m.end()) for m in MIXED.finditer(text) if is_mixed(m.group())] if names or access or places else []
+    marked = [(s, e) for s, e in marked if apart(s, e)]
+    mixed = [(s, e) for s, e in mixed if apart(s, e)]
     names = [(s, e) for s, e in names if apart(s, e)]
     strong = [(s, e) for s, kind, e in base if kind != "access"]
     out = []
@@ -99,8 +100,9 @@ def linked_spans(text: str, base: list[Span], reach: int = 200) -> list[Span]:
         near = others.get(scope(span[0]))
         return near is not None and near.any(*span, reach)
 
-    who = by_scope(names + access)
-    found = [s for s in weak if co_occurs(s, who)]
+    who, where, address = by_scope(names + access), by_scope(places), Near(places)
+    found = [s for s in marked if co_occurs(s, who) or co_occurs(s, where)]
+    found += [s for s in mixed if co_occurs(s, who) or not address.any(s[0] + 1, s[1] - 1, 0) and co_occurs(s, where)]
     secret = by_scope(found + strong)
     out += [(s, "secret", e) for s, e in found]
     out += [(s, "identifier", e) for s, e in names if co_occurs((s, e), secret)]
