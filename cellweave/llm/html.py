@@ -12,8 +12,8 @@ hot host is no hot group; only ids, paths and line hashes are shuffled for it.
 
 Defined cases: null or empty html gives an empty text; pages without a host share the
 empty host; a page alone on its host keeps its open lines; ties in nearness go to the
-preceding page; repeated rows are paired with each other, and as they share all lines an
-identical pair deletes nothing; cut-off tags, comments and scripts at the end are dropped;
+preceding page; pages with the same lines are passed over, up to the border of a task's
+block; cut-off tags, comments and scripts at the end are dropped;
 extra columns are ignored.
 """
 
@@ -234,12 +234,17 @@ def shared_lines(lines: DataFrame, block: int = 1024) -> DataFrame:
         part = part.sort_by("rank")
         own = part["block"][0].as_py()
         ids, keys, hosts, paths, hashes, loose, ranks = (part[c].to_pylist() for c in ("page_id", "page_key", "host", "path", "hashes", "loose", "rank"))
+        before, after = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))  # nearest places with other lines
+        same = [hosts[k] == hosts[k - 1] and hashes[k] == hashes[k - 1] for k in range(1, len(ids))]
+        for k in range(1, len(ids)):
+            before[k] = before[k - 1] if same[k - 1] else k - 1
+        for k in range(len(ids) - 2, -1, -1):
+            after[k] = after[k + 1] if same[k] else k + 1
         out = []
         for k, rank in enumerate(ranks):
             if rank // block != own or not loose[k]:
                 continue
-            near = [j for j in (k - 1, k + 1) if 0 <= j < len(ids) and hosts[j] == hosts[k]]
-            near = [j for j in near if hashes[j] != hashes[k]]
+            near = [j for j in (before[k], after[k]) if 0 <= j < len(ids) and hosts[j] == hosts[k]]
             if near:
                 j = max(near, key=lambda j: (shared_prefix(paths[j], paths[k]), -j))
                 gone = set(common_lines(hashes[k], hashes[j])) & set(loose[k])
