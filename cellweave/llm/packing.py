@@ -7,12 +7,13 @@ enough the search goes to its successors until one shares neither, and opens a n
 none does. So a bin holds one piece of a source and one of a duplicate cluster at most.
 
 Rows are dealt by hash over shards of about `shard_rows` rows, which are packed one by
-one; a hot source or cluster is dealt over all of them. What is shuffled is a document's
-id, size, source and cluster, not its text.
+one; a hot source or cluster is dealt over all of them, and so are rows that repeat: they
+are counted first and then dealt by their number. What is shuffled is a document's id,
+size, source and cluster, not its text.
 
 Defined cases: null and blank texts are pieces of 0 words; a null source conflicts with
-nothing; repeated rows are of one cluster, so they go to different bins; equal sizes are
-taken in order of doc_id; extra columns are ignored.
+nothing; null texts are of one cluster; repeated rows are of one cluster, so they go to
+different bins; equal sizes are taken in order of doc_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,6 +80,11 @@ def packed(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, cluste
         (F.xxhash64(F.lower("text")) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
     )
     shards = max(1, -(-docs.count() // shard_rows))
+    step = 1 << 16
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    dealt = counted.withColumn("far", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / step))))
+    dealt = dealt.withColumn("near", F.explode(F.sequence(F.lit(0), F.least(F.lit(step), F.col("n") - F.col("far") * step) - 1)))
+    dealt = dealt.select(*rows.columns, F.pmod(F.xxhash64("doc_id", "cluster", "far", "near"), F.lit(shards)).alias("shard"))
 
     def run(part: pa.Table) -> pa.Table:
         rows = sorted(zip(*(part[c].to_pylist() for c in ("doc_id", "size", "source", "cluster"))), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3]))
@@ -92,5 +98,4 @@ def packed(docs: DataFrame, capacity: int = 2048, shard_rows: int = 8192, cluste
             "n_words": pa.array([p[3] for p in placed], pa.int64()), "bin_id": pa.array([f"{shard}-{p[4]}" for p in placed], pa.string()), "bin_words": pa.array([filled[p[4]] for p in placed], pa.int64()),
         })
 
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards))
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES)
+    return dealt.groupBy("shard").applyInArrow(run, PIECES)
