@@ -319,6 +319,12 @@ def test_packed(spark, texts):
     assert set(spans) == set(size) and packing.packed(empty(spark)).count() == 0
 
 
+def test_repeated_rows_are_dealt_over_shards(spark):
+    docs = spark.range(400).selectExpr("7L AS doc_id", "'a b c' AS text", "'s' AS source")
+    got = packing.packed(docs, capacity=64, shard_rows=50).collect()
+    assert len(got) == 400 and len({r.bin_id for r in got}) == 400 and len({r.bin_id.split("-")[0] for r in got}) == 8
+
+
 # WARC ------------------------------------------------------------------------
 
 
@@ -326,7 +332,9 @@ def test_arc_versions_and_lengths():
     body = b"one\nhttp://not.a/header 1.2.3.4 20240101000000 text/html 5\n\r\n\r\n"
     for version in (1, 2):
         data = warc.arc_filedesc(version, "a.arc", "20240101000000") + b"\n" + warc.arc_header(version, "http://a/x y", "20240102030405", "text/html", len(body)) + body + b"\n"
-        ((fields, got),) = warc.parse_arc(data)
+        (desc, about), (fields, got) = warc.parse_arc(data)
+        headers, payload = next(warc.parse_warc(warc.warc_record(desc, about)))
+        assert payload == about and headers["warc-type"] == "warcinfo" and headers["warc-filename"] == "a.arc"
         assert got == body and fields["url"] == "http://a/x%20y"
         headers, payload = next(warc.parse_warc(warc.warc_record(fields, got)))
         assert payload == body and headers["warc-date"] == "2024-01-02T03:04:05Z" and headers["warc-type"] == "response"
@@ -345,13 +353,18 @@ def test_archives_round_trip(spark, tmp_path):
         revisit = h == big and k != 9
         want.append((-1 if k is None else k, len(b), hashlib.sha1(b).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
     assert got == sorted(want, key=lambda r: tuple("" if x is None else x for x in r)) or sorted(map(str, got)) == sorted(map(str, want))
-    warc.write_archives(pages, f"file://{tmp_path}/w", file_records=2)
+    warc.write_archives(pages, f"file://{tmp_path}/w", file_bytes=1500)
     back = warc.read_archives(spark, f"file://{tmp_path}/w").where("page_id = 4").first()
     assert bytes(back.payload).decode() == odd and back.target_uri == "http://c/"
+    records = {r.record_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    for r in records.values():
+        if r.warc_type == "revisit":
+            assert records[r.refers_to].warc_type == "response" and records[r.refers_to].page_id == r.refers_to_page == 9 and records[r.refers_to].payload_digest == r.payload_digest
+    assert [warc.warc_type(u) for u in ("dns:a.example", "ftp://a/b", "https://a/", "filedesc://x.arc")] == ["resource", "resource", "response", "warcinfo"]
     assert warc.archived_pages(pages.where("false")).count() == 0
     (tmp_path / "old").mkdir()
     (tmp_path / "old" / "a.arc").write_bytes(warc.arc_filedesc(1, "a.arc", "20240101000000") + b"\n" + warc.arc_header(1, "http://a/", "20240102030405", "text/html", 3) + b"abc\n")
-    assert [bytes(r.payload) for r in warc.read_archives(spark, f"file://{tmp_path}/old").collect()] == [b"abc"]
+    assert [bytes(r.payload) for r in warc.read_archives(spark, f"file://{tmp_path}/old").where("warc_type = 'response'").collect()] == [b"abc"]
 
 
 # HTML ------------------------------------------------------------------------
