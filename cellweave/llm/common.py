@@ -48,9 +48,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, rows: int | None = None, file_rows: int = 100_000) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors.
+
+    rows: about how many narrow rows there are, if that is known; they are then written by
+    as many tasks as have file_rows each, and not by one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(-(-rows // file_rows) or 1)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -68,6 +74,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def bucket_of(col: Column, n: int) -> Column:
     """crc32 of a key's decimal text, modulo n."""
     return F.crc32(col.cast("string")) % n
@@ -155,19 +173,22 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     # large = greater end, small = smaller end
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    before = None
+    before, old, n = None, [], links.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = saved(large, "star")
+        large = saved(large, "star", n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = saved(small.where("u > v").distinct(), "star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = saved(small.where("u > v").distinct(), "star", n)
+        for done in old:
+            release(done)
+        old = [large, edges]
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now.n
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

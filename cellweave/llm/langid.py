@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 UNKNOWN = "und"
 
@@ -127,21 +127,25 @@ def learn(rows: DataFrame, size: int = 400) -> Profiles:
     return Profiles([tuple(r) for r in top.select("lang", "gram", "n", "place").collect()], size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score for column text."""
+def identify(docs: DataFrame, profiles: Profiles, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "has_letters")) -> DataFrame:
+    """The columns `keep` of docs with the prediction for column text, its score, and whether the text holds a letter."""
+    names = list(names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = GramCoder()
         for b in slices(batches):
-            found = [profiles.predict(*coder.counts(t)) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.record_batch([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            grams = [coder.counts(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [profiles.predict(*g) for g in grams]
+            yield pa.record_batch([*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64()), pa.array([len(g) > 0 for g, _ in grams], pa.bool_())], names=[*b.schema.names[:-1], *names])
 
-    own = docs.select(*keep, F.col("text").alias("_text"))
+    (whole,) = unused(docs, "whole")
+    own = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias(whole))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return own.mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
 
 
 def language_id(docs: DataFrame, train: Column, size: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row; rows where `train` is true teach."""
     profiles = learn(docs.where(train & F.col("doc_id").isNotNull()), size)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~train, F.lit(False)).alias("held_out"), "text")
-    return identify(rows, profiles, ["doc_id", "held_out"])
+    return identify(rows, profiles, ["doc_id", "held_out"]).drop("has_letters")

@@ -6,8 +6,11 @@
    signature batch by signature batch and dropped as soon as the posterior probability
    that their similarity reaches the threshold is below the miss probability. Survivors
    are confirmed on full shingle sets.
-4. Bands whose classes are still in several components get their cross-component pairs
-   compared in the same way, in blocks, so that no link between components is left out.
+4. Bands whose classes are still in several components are gone through again, so that no
+   link between components is left out. A shingle that only one component holds cannot be
+   part of such a link: classes whose other shingles are too few for the threshold are put
+   aside. Of what is left, the classes outside a band's largest component are compared in
+   the same way, in blocks, with those inside and with each other.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer words
 than a shingle make one shingle; each row is judged by its own text, also where a doc_id
@@ -23,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, mix, saved, shingle_hashes, slices, WordHasher
+from .common import connected_components, mix, saved, shingle_hashes, slices, unused, WordHasher
 
 FEATURES = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sig binary"
 
@@ -180,18 +183,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def compare_block(ids: np.ndarray, groups: np.ndarray, sigs: np.ndarray, texts: list[str], scheme: Scheme, hasher: WordHasher) -> list[tuple[int, int]]:
-    """Links that join different groups of a block of classes, a spanning set of them.
+def compare_block(groups: np.ndarray, parts: np.ndarray, sigs: np.ndarray, texts: list[str], scheme: Scheme, hasher: WordHasher) -> list[tuple[int, int]]:
+    """Pairs of groups of a block of classes that a link joins, a spanning set of them.
 
-    A row's signature is tested against all later rows; where some survive, an inverted
-    index of the block gives its exact intersections.
+    Where the block holds two parts, rows of one part do not meet. A row's signature is
+    tested against all later rows; where some survive, an inverted index of the block
+    gives its exact intersections.
     """
-    n = len(ids)
+    n = len(groups)
     sets = [scheme.shingles(t, hasher) for t in texts]
     sizes = np.array([len(s) for s in sets])
     codes, starts = None, None
     names, own = np.unique(groups, return_inverse=True)
     parent = list(range(len(names)))
+    apart = len(np.unique(parts)) > 1
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -201,7 +206,11 @@ def compare_block(ids: np.ndarray, groups: np.ndarray, sigs: np.ndarray, texts:
 
     links = []
     for i in range(n - 1):
-        later = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+        meets = own[i + 1 :] != own[i]
+        meets &= 100 * np.minimum(sizes[i], sizes[i + 1 :]) >= scheme.percent * np.maximum(sizes[i], sizes[i + 1 :])
+        if apart:
+            meets &= parts[i + 1 :] != parts[i]
+        later = i + 1 + np.flatnonzero(meets)
         if not len(later):
             continue
         later = later[scheme.survives(np.broadcast_to(sigs[i], (len(later), sigs.shape[1])), sigs[later])]
@@ -223,30 +232,67 @@ def compare_block(ids: np.ndarray, groups: np.ndarray, sigs: np.ndarray, texts:
             a, b = root(own[i]), root(own[j])
             if a != b:
                 parent[a] = b
-                links.append((int(ids[i]), int(ids[j])))
+                links.append((int(groups[i]), int(groups[j])))
     return links
 
 
-def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Scheme, block: int = 512) -> DataFrame:
-    """Links (a, b) between components within bands.
+def held_shingles(people: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """(id, component, shingle): a row for each shingle of each class."""
 
-    members: (key, id, component). Bands with one component, and bands with the same
-    members as another, have nothing to add. The others are dealt into blocks of about
-    `block` classes, and every pair of blocks of a band is compared in one task.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for b in slices(batches, 4 << 20):
+            sets = [scheme.shingles(t, hasher) for t in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(flat.view(np.int64))], names=["id", "component", "shingle"])
+
+    return people.join(texts, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, shingle long")
+
+
+def linkable(members: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
+    """The members (key, id, component) of bands with several components that may link with another one.
+
+    A class with n shingles, k of which other components hold as well, has at most
+    similarity k / n with any class of those.
+    """
+    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    members = members.join(saved(several, "several"), "key")  # written first, so that a hot band can be split
+    held = saved(held_shingles(members.select("id", "component").distinct(), texts, scheme), "held")
+    shared = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    rest = held.join(saved(shared, "shared"), "shingle").groupBy("id").agg(F.count("*").alias("k"))
+    stay = classes.select("id", "n_shingles").join(rest, "id").where(F.col("k") * 100 >= F.col("n_shingles") * scheme.percent).select("id")
+    return saved(members.join(stay, "id", "left_semi"), "linkable")
+
+
+def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Scheme, block: int = 2048) -> DataFrame:
+    """Links (a, b) of components, by links of classes within bands.
+
+    members: (key, id, component). Bands with the same members as another have nothing to
+    add. A band of at most `block` classes is one task. Of others, the largest component
+    and the rest are dealt into parts of about `block` classes; each part of the rest
+    meets every part.
     """
-    bands = members.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
-        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"),
-    ).where("low < high")
-    bands = bands.groupBy("n", "print").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
-    dealt = members.join(bands, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", "id", "component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    members = linkable(members, classes, texts, scheme)
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"))
+    bands = sizes.groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("all"), F.sum("print").alias("print"), F.max(F.struct("n", "component")).alias("top"))
+    bands = bands.where("several > 1").groupBy("all", "print").agg(F.min(F.struct("key", "top")).alias("b")).select("all", "b.key", "b.top")
+    cut = F.col("all") > block
+    rest = F.when(cut, F.ceil((F.col("all") - F.col("top.n")) / block)).otherwise(1).cast("int")
+    most = F.when(cut, F.ceil(F.col("top.n") / block)).otherwise(0).cast("int")
+    bands = saved(bands.select("key", F.col("top.component").alias("top"), rest.alias("rest"), most.alias("most")), "bands")
+    dealt = members.join(bands, "key")
+    inside = (F.col("component") == F.col("top")) & (F.col("most") > 0)
+    own = F.when(inside, F.col("rest") + F.pmod(F.xxhash64("id"), F.col("most"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    last = F.when(inside, F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    dealt = dealt.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select("key", "id", "component", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     full = dealt.join(classes.select("id", "sig"), "id").join(texts, "id")
 
-    def run(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        sigs = np.frombuffer(b"".join(part["sig"].to_pylist()), dtype=np.uint32).reshape(part.num_rows, -1)
-        links = compare_block(part["id"].to_numpy(), part["component"].to_numpy(), sigs, part["text"].to_pylist(), scheme, WordHasher())
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        sigs = np.frombuffer(b"".join(group["sig"].to_pylist()), dtype=np.uint32).reshape(group.num_rows, -1)
+        links = compare_block(group["component"].to_numpy(), group["part"].to_numpy(), sigs, group["text"].to_pylist(), scheme, WordHasher())
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return full.groupBy("key", "p", "q").applyInArrow(run, "a long, b long")
@@ -260,7 +306,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     scheme = scheme or Scheme()
     rows = saved(signatures(docs, scheme), "signatures")
     classes = saved(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key", "sig")).alias("m"))
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig")).alias("m"))
         .select(F.col("set_a").alias("id"), "set_b", "m.*"), "classes")
     bands = band_rows(classes, scheme)
     lead = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n")
@@ -272,9 +318,10 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     parts = saved(connected_components(links), "parts")
     known = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     more = saved(residual_links(saved(known, "bands"), classes, texts, scheme), "links")
-    both = links.unionByName(more)
-    parts = saved(connected_components(both), "parts") if more.take(1) else parts
     known = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "set_b", "doc_id", F.coalesce("component", "id").alias("component"))
+    if more.take(1):
+        wider = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        known = known.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
     first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = saved(known.join(first, "component").select(F.col("id").alias("set_a"), "set_b", "component_id"), "labels")
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b", "text_key").join(known, ["set_a", "set_b"], "left")
@@ -284,12 +331,12 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """docs without near-duplicates: the kept rows, and of rows that repeat a document one."""
+    """docs without near-duplicates: the kept rows, and of rows that repeat a document the first by a hash of their columns."""
     judged = saved(near_duplicates(docs, scheme).where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "judged")
-    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), F.xxhash64("text") == F.col("_key")]
-    named = judged.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept")
-    once = docs.join(named, key, "left_anti")
-    again = docs.join(named.where("kept"), key, "left_semi")
-    columns = docs.columns
-    first = again.groupBy(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key")).agg(F.min(F.struct(*columns)).alias("row"))
-    return once.unionByName(first.select("row.*").select(*columns))
+    of, key, place = unused(docs, "of", "key", "place")
+    match = [F.col("doc_id").cast("long").eqNullSafe(F.col(of)), F.xxhash64("text") == F.col(key)]
+    named = judged.select(F.col("doc_id").alias(of), F.col("text_key").alias(key), "kept")
+    once = docs.join(named.drop("kept"), match, "left_anti")
+    again = docs.join(named.where("kept").drop("kept"), match, "left_semi")
+    first = Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    return once.unionByName(again.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place))

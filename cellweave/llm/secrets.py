@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 
 KINDS = ("assign", "access", "hex", "secret", "identifier", "endpoint")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -160,7 +160,8 @@ def redacted(docs: DataFrame, reach: int = 200) -> DataFrame:
             texts = pa.array([redact_text(t, reach) for t in b.column(k).to_pylist()], pa.string())
             yield pa.record_batch([texts if i == k else c.cast(pa.string()) if pa.types.is_large_string(c.type) else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    out = docs.withColumn("_before", F.xxhash64("text")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _before long")
+    (before,) = unused(docs, "before")
+    out = docs.withColumn(before, F.xxhash64("text")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {before} long")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.xxhash64("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.xxhash64("text") != F.col(before), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(before)
