@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns the rows for the next one; al
 last return the columns of documents. A stage judges every row that its predecessor kept.
 Stages mix learned profiles, hashing and sequential packing, which SQL does not express;
 tests/llm checks run() against a plain version.
+
+Defined cases, for every stage: no rows give no rows with the same columns; columns beside
+those of documents are kept by all stages but the last, whatever their names and types;
+equal rows are judged alike, and near_dedup keeps one of them.
 """
 
 from __future__ import annotations
@@ -11,9 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import saved, table
+from cellweave.llm.common import saved, table, unused
 from cellweave.llm.decontam import contaminated
-from cellweave.llm.langid import UNKNOWN, identify, learn
+from cellweave.llm.langid import identify, learn
 from cellweave.llm.minhash import Scheme, one_of_each
 from cellweave.llm.packing import packed
 from cellweave.llm.secrets import redacted
@@ -22,29 +26,37 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can be told; profiles are learned from all rows with a lang."""
-    found = identify(docs, learn(docs), docs.columns)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """Rows whose text is in some language: null texts and texts without a letter are rejected.
+
+    Profiles are learned from all rows with a lang; where there are none, every text with
+    a letter stays, since nothing tells it from a known language.
+    """
+    names = unused(docs, "lang_pred", "score", "has_letters")
+    return identify(docs, learn(docs), docs.columns, tuple(names)).where(F.col(names[2])).drop(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group, at 5-word shingles and 0.8: the one with the smallest doc_id."""
+    """One row of each near-duplicate group, at 5-word shingles and 0.8: the one with the smallest doc_id.
+
+    Rows with a null doc_id and blank texts all stay.
+    """
     return one_of_each(docs, Scheme(percent=80, words=5, bands=36, rows=5))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item; rows with one doc_id go together, those without one stay."""
-    hits = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    return docs.join(hits, F.col("doc_id") == F.col("_hit"), "left_anti")
+    (hit,) = unused(docs, "hit")
+    hits = saved(contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(hit)).distinct(), "hits")
+    return docs.join(hits, F.col("doc_id") == F.col(hit), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, secrets in their texts replaced by a mark."""
+    """All rows, secrets in their texts replaced by a mark; null and clean texts as they are."""
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of the remaining texts goes."""
+    """Where each piece of the remaining texts goes; blank texts are pieces of 0 words."""
     return packed(docs)
 
 
