@@ -179,16 +179,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, list_size: int = 2
         if left.num_rows and right.num_rows:
             ids = right["ids"].to_pylist()
             vectors, queries = rows_of(right["v"].combine_chunks(), dim), rows_of(left["v"].combine_chunks(), dim)
-            names, scaled, most = left["query"].to_numpy(), unit(vectors), min(len(ids), 2 * k + 6)
+            names, scaled, most = left["query"].to_numpy(), unit(vectors), min(len(ids), k + 1)
             least = left["least"].to_numpy()
             for at in range(0, len(queries), 1024):
                 near = unit(queries[at : at + 1024]) @ scaled.T
-                top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+                last = np.partition(near, len(ids) - most, axis=1)[:, len(ids) - most]
                 for n in np.flatnonzero(near.max(axis=1) >= least[at : at + 1024] - 1e-9):
-                    choice = top[n]
+                    choice = np.flatnonzero(near[n] >= max(last[n], least[at + n]) - 1e-9)  # all that may tie with the last place
                     score = cosine(queries[at + n], vectors[choice])
-                    flat = sorted((-s, i) for s, c in zip(score.tolist(), choice.tolist()) for i in ids[c] if s >= least[at + n])[: k + 1]
-                    out.append((np.full(len(flat), names[at + n]), np.array([i for _, i in flat]), np.array([-s for s, _ in flat])))
+                    flat = heapq.nsmallest(k + 1, ((-s, i) for s, c in zip(score.tolist(), choice.tolist()) for i in ids[c] if s >= least[at + n]))
+                    out.append((np.full(len(flat), names[at + n]), np.array([i for _, i in flat], dtype=np.int64), np.array([-s for s, _ in flat], dtype=np.float64)))
         return pa.table([np.concatenate([o[c] for o in out]) if out else [] for c in range(3)], schema=found_schema)
 
     def search(asking: DataFrame) -> DataFrame:
