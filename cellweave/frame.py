@@ -113,37 +113,51 @@ class AnnotatedFrame:
         left = self.keep_cells(self.obs.join(gone, "cell", "left_anti"))
         return left.replace(splits=left.splits.where(F.col("split") != name))
 
-    def append(self, other: "AnnotatedFrame", mode: str | None = "merge", rename: Mapping[str, str] | None = None, new_split: str | None = None, batch: str = "batch") -> "AnnotatedFrame":
-        """Cells of another frame below these; genes are the union; batch numbers go on.
+    def append(self, other: "AnnotatedFrame", mode: str | None = "merge", rename: Mapping[str, str] | None = None, new_split: str | None = None, label_batch: bool = False, batch: str = "batch") -> "AnnotatedFrame":
+        """Cells of another frame below these; genes are the union; layers and embeddings of one name are united.
 
-        mode: merge joins splits of one name, rename maps the other's names, new_split puts
-        all its cells into one split, None adds none. Cell keys must differ.
+        mode: merge joins splits of one name, rename gives every split of the other a new
+        name, new_split puts all its cells into one split, None adds none. New names must
+        not be in use here. label_batch: number the batches on in a column of obs. Cell
+        keys must differ.
         """
-        mine = self.obs if batch in self.obs.columns else self.obs.withColumn(batch, F.lit(0))
-        last = mine.agg(F.max(batch)).first()[0] or 0
-        theirs = other.obs.drop(batch).withColumn(batch, F.lit(last + 1))
+        names = lambda f: set() if f.splits is None else {r.split for r in f.splits.select("split").distinct().collect()}
         if mode == "merge":
             added = other.splits
         elif mode == "rename":
-            if not rename:
+            if rename is None:
                 raise ValueError("mode rename needs the new names")
+            if used := names(self) & set(rename.values()):
+                raise ValueError(f"new names are in use: {sorted(used)}")
+            if missing := names(other) - set(rename):
+                raise KeyError(f"no new name for {sorted(missing)}")
             added = other.splits
-            for old, new in rename.items():
-                added = added.withColumn("split", F.when(F.col("split") == old, new).otherwise(F.col("split")))
+            if added is not None and rename:
+                to = F.create_map(*(F.lit(v) for pair in rename.items() for v in pair))
+                added = added.withColumn("split", to[F.col("split")])
         elif mode == "new_split":
-            if not new_split:
+            if new_split is None:
                 raise ValueError("mode new_split needs a name")
+            if not isinstance(new_split, str):
+                raise TypeError(f"a split's name is a string, not {new_split!r}")
+            if new_split in names(self):
+                raise ValueError(f"the name {new_split!r} is in use")
             added = other.obs.select(F.lit(new_split).alias("split"), "cell")
         elif mode is None:
             added = None
         else:
             raise ValueError(f"unknown mode {mode!r}")
+        mine, theirs = self.obs, other.obs
+        if label_batch:
+            mine = mine if batch in mine.columns else mine.withColumn(batch, F.lit(0))
+            last = mine.agg(F.max(batch)).first()[0] or 0
+            theirs = theirs.drop(batch).withColumn(batch, F.lit(last + 1))
         parts = [s for s in (self.splits, added) if s is not None]
         both = lambda a, b: {k: a[k].unionByName(b[k], allowMissingColumns=True) if k in a and k in b else a.get(k, b.get(k)) for k in {**a, **b}}
         return self.replace(
             x=self.x.unionByName(other.x), obs=mine.unionByName(theirs, allowMissingColumns=True),
             var=self.var.unionByName(other.var.join(self.var.select("gene"), "gene", "left_anti"), allowMissingColumns=True),
-            splits=None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]),
+            splits=None if not parts else parts[0] if len(parts) == 1 else parts[0].select("split", "cell").unionByName(parts[1].select("split", "cell")),
             layers=both(self.layers, other.layers), obsm=both(self.obsm, other.obsm), uns={**other.uns, **self.uns},
         )
 

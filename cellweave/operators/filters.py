@@ -123,22 +123,27 @@ def gini_of_two(a: Column, b: Column) -> Column:
     return F.coalesce(ratio(F.abs(a - b), 2 * (F.abs(a) + F.abs(b))), F.lit(0.0))
 
 
-def gini_markers(expression: DataFrame, detected: DataFrame, sizes: DataFrame, label: str, least_expression: float = 0.2, least_detection: float = 0.2, rank: int = 5) -> DataFrame:
-    """(label, gene, score): one type against the size-weighted mean of the rest, by Gini indices and their ranks."""
-    n = F.sum("n").over(Window.partitionBy())
-    sizes = sizes.withColumn("all", n)
-    whole = Window.partitionBy("gene")
-
-    def versus(df: DataFrame, name: str) -> DataFrame:
-        df = df.join(F.broadcast(sizes), label)
-        rest = (F.sum(F.col("value") * F.col("n")).over(whole) - F.col("value") * F.col("n")) / (F.col("all") - F.col("n"))
-        return df.select(label, "gene", F.col("value").alias(name), rest.alias(f"{name}_rest"))
+def gini_markers(expression: DataFrame, detected: DataFrame, sizes: DataFrame, label: str, least_expression: float = 0.2, least_detection: float = 0.2, rank: int = 5, genes: DataFrame | None = None) -> DataFrame:
+    """(label, gene, score, rank): one type against the size-weighted mean of the rest.
 
-    both = versus(expression, "e").join(versus(detected, "d"), [label, "gene"])
-    both = both.withColumn("ge", gini_of_two(F.col("e"), F.col("e_rest"))).withColumn("gd", gini_of_two(F.col("d"), F.col("d_rest")))
-    both = both.where((F.col("e") > F.col("e_rest")) & (F.col("e") > least_expression) & (F.col("d") > least_detection))
-    scored = both.withColumn("score", F.col("ge") * F.col("gd"))
-    return top_k_by(scored, rank, [label], F.desc("score"), "gene").select(label, "gene", "score", "rank")
+    The score is the product of the Gini indices of mean and detection, each times 1 where
+    the type is above the rest and 0.1 where not. Kept are the `rank` best of a type and
+    those above both thresholds. genes: all genes, if some may have no stored value.
+    """
+    sizes = sizes.withColumn("all", F.sum("n").over(Window.partitionBy()))
+    grid = F.broadcast(sizes).crossJoin((expression if genes is None else genes).select("gene").distinct())
+    whole = Window.partitionBy("gene")
+    e, d = (df.select(label, "gene", F.col("value").alias(name)) for df, name in ((expression, "e"), (detected, "d")))
+    both = grid.join(e, [label, "gene"], "left").join(d, [label, "gene"], "left").na.fill(0.0, ["e", "d"])
+    score = F.lit(1.0)
+    for name in ("e", "d"):
+        own, n = F.col(name), F.col("n")
+        both = both.withColumn(f"{name}_rest", (F.sum(own * n).over(whole) - own * n) / (F.col("all") - n))
+        score = score * gini_of_two(own, F.col(f"{name}_rest")) * F.when(own > F.col(f"{name}_rest"), 1.0).otherwise(0.1)
+    best = Window.partitionBy(label).orderBy(F.desc("score"), "gene")
+    ranked = both.withColumn("score", score).withColumn("rank", F.row_number().over(best))
+    kept = (F.col("rank") <= rank) | (F.col("e") > least_expression) & (F.col("d") > least_detection)
+    return ranked.where(kept).select(label, "gene", "score", "rank")
 
 
 def regression_scores(x: DataFrame, var: DataFrame, n_cells: int, method: str) -> DataFrame:

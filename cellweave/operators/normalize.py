@@ -17,29 +17,46 @@ def _safe(d: Column, eps: float) -> Column:
     return F.when(d == 0, 1.0).otherwise(d) if eps == -1 else d + eps
 
 
-def by_axis(x: DataFrame, mode: str = "normalize", axis: str = "gene", size: int | None = None, eps: float = -1, group: str | None = None) -> DataFrame:
-    """Entries scaled over all entries that share `axis` (and group).
+def filled(x: DataFrame, obs: DataFrame, var: DataFrame) -> DataFrame:
+    """x with a row for every cell of obs and gene of var; what is not stored is 0. For results that are dense by nature."""
+    grid = obs.select("cell").crossJoin(var.select("gene"))
+    return grid.join(x, ["cell", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
-    size: number of entries with zeros (cells for a gene); needed by standardize and
-    minmax, whose results for zeros are in `zero`, the value of an entry that is not stored.
+
+def by_axis(x: DataFrame, mode: str = "normalize", axis: str = "gene", eps: float = -1, group: str | None = None, obs: DataFrame | None = None, var: DataFrame | None = None) -> DataFrame:
+    """Entries scaled over all entries that share `axis` (and, for genes, a group of cells in obs).
+
+    normalize and l2 keep zeros and give the stored entries. standardize and minmax shift
+    them, so their result is dense: a row for each cell of obs and gene of var.
     """
     if mode not in AXIS_MODES:
         raise ValueError(f"unknown mode {mode!r}; one of {AXIS_MODES}")
+    if eps != -1 and eps <= 0:
+        raise ValueError(f"eps is positive, or -1 for zero denominators as ones, not {eps}")
+    if group and obs is None or mode in ("standardize", "minmax") and (obs is None or var is None):
+        raise ValueError(f"{mode} needs the cells and the genes")
     keys = [axis] + ([group] if group else [])
-    s = x.groupBy(*keys).agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"), F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("*").alias("_m"))
+    typed = x if group is None else x.join(obs.select("cell", group), "cell")
+    s = typed.groupBy(*keys).agg(F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q"), F.min("value").alias("_low"), F.max("value").alias("_high"), F.count("*").alias("_m"))
     v = F.col("value")
     if mode in ("normalize", "l2"):
         d = F.col("_s") if mode == "normalize" else F.sqrt("_q")
-        return x.join(s, keys).withColumn("value", v / _safe(d, eps)).select(*x.columns)
-    if size is None:
-        raise ValueError(f"{mode} needs the number of entries")
+        return typed.join(s, keys).withColumn("value", v / _safe(d, eps)).select(*x.columns)
+    full = filled(x, obs, var) if group is None else filled(x, obs, var).join(obs.select("cell", group), "cell")
+    if group is None:
+        size = F.lit(float(obs.count() if axis == "gene" else var.count()))
+    else:
+        full = full.join(F.broadcast(obs.groupBy(group).agg(F.count("*").alias("_n"))), group)
+        size = F.col("_n")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     if mode == "standardize":
-        mean = F.col("_s") / size
-        shift, scale = mean, F.sqrt(F.greatest(F.col("_q") / size - mean * mean, F.lit(0.0)))
+        shift = zero(F.col("_s") / size)
+        scale = F.sqrt(F.greatest(zero(F.col("_q") / size) - shift * shift, F.lit(0.0)))
     else:
-        shift = F.when(F.col("_m") < size, F.least(F.col("_low"), F.lit(0.0))).otherwise(F.col("_low"))
-        scale = F.when(F.col("_m") < size, F.greatest(F.col("_high"), F.lit(0.0))).otherwise(F.col("_high")) - shift
-    return x.join(s, keys).withColumn("zero", -shift / _safe(scale, eps)).withColumn("value", (v - shift) / _safe(scale, eps)).select(*x.columns, "zero")
+        stored = F.coalesce("_m", F.lit(0)) >= size
+        shift = F.when(stored, F.col("_low")).otherwise(F.least(zero(F.col("_low")), F.lit(0.0)))
+        scale = F.when(stored, F.col("_high")).otherwise(F.greatest(zero(F.col("_high")), F.lit(0.0))) - shift
+    return full.join(s, keys, "left").withColumn("value", (v - shift) / _safe(scale, eps)).select("cell", "gene", "value")
 
 
 def total(x: DataFrame, target: float | None = None, max_fraction: float = 0.05) -> DataFrame:
@@ -48,8 +65,10 @@ def total(x: DataFrame, target: float | None = None, max_fraction: float = 0.05)
     cells = x.groupBy("cell").agg(F.sum("value").alias("_all"))
     if max_fraction < 1:
         high = x.join(cells, "cell").where(F.col("value") > max_fraction * F.col("_all")).select("gene").distinct()
-        counted = x.join(high, "gene", "left_anti").groupBy("cell").agg(F.sum("value").alias("_t"))
-        cells = cells.join(counted, "cell", "left").select("cell", F.coalesce("_t", F.lit(0.0)).alias("_t"))
+        # what is left out of the totals is a share of the entries only, so it is summed apart
+        out = x.join(high, "gene", "left_semi").groupBy("cell").agg(F.sum("value").alias("_out"))
+        rest = F.col("_all") - F.coalesce("_out", F.lit(0.0))
+        cells = cells.join(out, "cell", "left").select("cell", F.when(F.abs(rest) > 1e-12 * F.abs(F.col("_all")), rest).otherwise(0.0).alias("_t"))
     else:
         cells = cells.select("cell", F.col("_all").alias("_t"))
     if target is None:
@@ -86,15 +105,14 @@ def size_factors(x: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(cells.agg(F.median("n_counts").alias("m")))).select("cell", "n_counts", ratio(F.col("n_counts"), F.col("m")).alias("size_factor"))
 
 
-def stabilize(x: DataFrame, n_cells: int, genes: DataFrame) -> DataFrame:
-    """ln(x + 1 / (2 phi)), phi fitted to variance = mean + phi mean^2 over the genes; the
-    value of an entry that is not stored is in `zero`."""
+def stabilize(x: DataFrame, obs: DataFrame, genes: DataFrame) -> DataFrame:
+    """ln(x + 1 / (2 phi)), phi fitted to variance = mean + phi mean^2 over the genes; dense, since zeros shift."""
     from .stats import gene_moments
 
-    m = gene_moments(x, genes, n_cells)
+    m = gene_moments(x, genes, obs.count())
     phi = m.agg(ratio(F.sum(F.col("mean") ** 2 * (F.col("variance") - F.col("mean"))), F.sum(F.col("mean") ** 4)).alias("phi"))
     shift = 1 / (2 * F.col("phi"))
-    return x.join(F.broadcast(phi)).withColumn("zero", F.log(shift)).withColumn("value", F.log(F.col("value") + shift)).drop("phi")
+    return filled(x, obs, genes).join(F.broadcast(phi)).select("cell", "gene", F.log(F.col("value") + shift).alias("value"))
 
 
 def regress_out(dense: DataFrame, covariate: DataFrame) -> DataFrame:

@@ -144,9 +144,7 @@ def filter_cells_quality(frame: AnnotatedFrame, name: str = "gene_name") -> Anno
 
 @register(f"{P}.normalize", "ColumnSumNormalize")
 def column_sum_normalize(frame: AnnotatedFrame, mode: str = "normalize", axis: int = 0, eps: float = -1, batch_key: str | None = None) -> AnnotatedFrame:
-    x = frame.x if batch_key is None else frame.x.join(frame.obs.select("cell", batch_key), "cell")
-    out = normalize.by_axis(x, mode, "gene" if axis == 0 else "cell", frame.num_cells if axis == 0 else frame.num_genes, eps, batch_key)
-    return frame.replace(x=out.select("cell", "gene", "value", *(["zero"] if "zero" in out.columns else [])))
+    return frame.replace(x=normalize.by_axis(frame.x, mode, "gene" if axis == 0 else "cell", eps, batch_key, frame.obs, frame.var))
 
 
 @register(f"{P}.normalize", "NormalizeTotal")

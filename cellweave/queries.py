@@ -137,18 +137,18 @@ def genes_topk_cv(spark, d):
     return filters.by_top_k(f.x, f.var, f.num_cells, 100).select("gene", *r6("score"))
 
 
-@query(f"WITH {X}, {CELLS} SELECT gene FROM x JOIN cells USING (cell) GROUP BY gene HAVING COUNT(DISTINCT batch) FILTER (value <> 0) = (SELECT COUNT(DISTINCT batch) FROM cells)")
+@query(f"WITH {X}, {CELLS} SELECT gene FROM x JOIN cells USING (cell) GROUP BY gene HAVING COUNT(DISTINCT cell_type) FILTER (value <> 0) = (SELECT COUNT(DISTINCT cell_type) FROM cells)")
 def genes_common_by_batch(spark, d):
     f = parts(spark, d)
-    return filters.common_by_group(f.x, f.obs, "batch")
+    return filters.common_by_group(f.x, f.obs, "cell_type")
 
 
 @query("SELECT DISTINCT o_custkey AS cell FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def cells_common_mod(spark, d):
-    orders = read(spark, d, "orders")[0]
-    side = lambda s: AnnotatedFrame(None, orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("cell")).distinct(), None)
-    a, b = side("F"), side("O")
-    return a.obs.join(b.obs, "cell", "left_semi")
+    f, orders = parts(spark, d), read(spark, d, "orders")[0]
+    side = lambda s: f.keep_cells(orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("cell")).distinct())
+    both = f.replace(mod={"rna": side("F"), "protein": side("O")})
+    return transforms.filter_cells_common(both, "rna", "protein").mod["protein"].obs.select("cell")
 
 
 @query("SELECT p_partkey AS gene, p_name AS gene_name FROM part WHERE NOT (UPPER(p_name) LIKE 'A%' OR UPPER(p_name) LIKE '%E')")
@@ -165,18 +165,18 @@ def marker_genes_logfc(spark, d):
     return filters.markers(stats.profile(f.x, f.obs, "cell_type"), "cell_type", 0.5).select("cell_type", "gene", *r6("log_fold"))
 
 
-GINI = """e AS (SELECT cell_type, gene, p.value AS e, (SUM(p.value * k) OVER w - p.value * k) / ((SELECT n FROM n) - k) AS er FROM p JOIN sizes USING (cell_type) WINDOW w AS (PARTITION BY gene)),
-q AS (SELECT cell_type, gene, COUNT(*) / MAX(k) AS value FROM x JOIN cells USING (cell) JOIN sizes USING (cell_type) WHERE value > 0 GROUP BY 1, 2),
-d AS (SELECT cell_type, gene, q.value AS d, (SUM(q.value * k) OVER w - q.value * k) / ((SELECT n FROM n) - k) AS dr FROM q JOIN sizes USING (cell_type) WINDOW w AS (PARTITION BY gene)),
-s AS (SELECT cell_type, gene, ABS(e - er) / NULLIF(2 * (ABS(e) + ABS(er)), 0) * ABS(d - dr) / NULLIF(2 * (ABS(d) + ABS(dr)), 0) AS score FROM e JOIN d USING (cell_type, gene) WHERE e > er AND e > 0.2 AND d > 0.2),
+GINI = """q AS (SELECT cell_type, gene, COUNT(*) / MAX(k) AS value FROM x JOIN cells USING (cell) JOIN sizes USING (cell_type) WHERE value > 0 GROUP BY 1, 2),
+f AS (SELECT cell_type, gene, k, COALESCE(p.value, 0) AS e, COALESCE(q.value, 0) AS d FROM sizes CROSS JOIN genes LEFT JOIN p USING (cell_type, gene) LEFT JOIN q USING (cell_type, gene)),
+o AS (SELECT *, (SUM(e * k) OVER w - e * k) / ((SELECT n FROM n) - k) AS er, (SUM(d * k) OVER w - d * k) / ((SELECT n FROM n) - k) AS dr FROM f WINDOW w AS (PARTITION BY gene)),
+s AS (SELECT *, COALESCE(ABS(e - er) / NULLIF(2 * (ABS(e) + ABS(er)), 0), 0) * COALESCE(ABS(d - dr) / NULLIF(2 * (ABS(d) + ABS(dr)), 0), 0) * CASE WHEN e > er THEN 1.0 ELSE 0.1 END * CASE WHEN d > dr THEN 1.0 ELSE 0.1 END AS score FROM o),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_type ORDER BY score DESC, gene) AS rank FROM s)"""
 
 
-@query(f"WITH {B}, {CELLS}, {PROFILE}, {GINI} SELECT cell_type, gene, ROUND(score, 9) AS score, rank FROM r WHERE rank <= 5")
+@query(f"WITH {X}, {CELLS}, {GENES}, {PROFILE}, {GINI} SELECT cell_type, gene, ROUND(score, 9) AS score FROM r WHERE rank <= 5 OR e > 0.2 AND d > 0.03")
 def marker_gini(spark, d):
-    f = brands(spark, d)
-    got = filters.gini_markers(stats.profile(f.x, f.obs, "cell_type"), stats.detection(f.x, f.obs, "cell_type"), stats.label_counts(f.obs, "cell_type"), "cell_type")
-    return got.select("cell_type", "gene", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+    f = parts(spark, d)
+    got = filters.gini_markers(stats.profile(f.x, f.obs, "cell_type"), stats.detection(f.x, f.obs, "cell_type"), stats.label_counts(f.obs, "cell_type"), "cell_type", least_detection=0.03, genes=f.var)
+    return got.select("cell_type", "gene", F.round("score", 9).alias("score"))
 
 
 def _regression(method: str, k: int = 50) -> Callable:
@@ -234,7 +234,7 @@ def cell_type_min_count(spark, d):
 def _axis(mode: str) -> Callable:
     def run(spark, d):
         f = brands(spark, d)
-        out = normalize.by_axis(f.x, mode, "gene", f.num_cells)
+        out = normalize.by_axis(f.x, mode, "gene", obs=f.obs, var=f.var)
         return out.select("cell", "gene", *r6("value"))
 
     run.__name__ = f"column_sum_normalize_{mode}"
@@ -244,8 +244,9 @@ def _axis(mode: str) -> Callable:
 _AXIS = f"WITH {B}, {CELLS}, s AS (SELECT gene, SUM(value) AS s, SUM(value * value) AS q, MIN(value) AS lo, MAX(value) AS hi, COUNT(*) AS m FROM x GROUP BY 1) SELECT cell, gene, ROUND({{}}, 6) AS value FROM x JOIN s USING (gene), n"
 query(_AXIS.format("value / s"))(_axis("normalize"))
 query(_AXIS.format("value / SQRT(q)"))(_axis("l2"))
-query(_AXIS.format("(value - s / n) / SQRT(q / n - (s / n) * (s / n))"))(_axis("standardize"))
-query(_AXIS.format("(value - CASE WHEN m < n THEN 0 ELSE lo END) / (hi - CASE WHEN m < n THEN 0 ELSE lo END)"))(_axis("minmax"))
+_DENSE = _AXIS.replace("FROM x JOIN s USING (gene), n", "FROM (SELECT cell, gene, COALESCE(value, 0) AS value FROM cells CROSS JOIN genes LEFT JOIN x USING (cell, gene)) JOIN s USING (gene), n").replace(", s AS", f", {BRANDS}, s AS", 1)
+query(_DENSE.format("(value - s / n) / SQRT(q / n - (s / n) * (s / n))"))(_axis("standardize"))
+query(_DENSE.format("(value - CASE WHEN m < n THEN 0 ELSE lo END) / (hi - CASE WHEN m < n THEN 0 ELSE lo END)"))(_axis("minmax"))
 
 _TOTAL = "t AS (SELECT cell, SUM(value) AS t FROM x GROUP BY 1)"
 
@@ -371,10 +372,10 @@ def radius_graph(spark, d):
     return graphs.within_radius(points(spark, d), 0.05).select("src", "dst", *r6("distance"))
 
 
-@query(f"WITH {B}, {CELLS}, m AS (SELECT gene, SUM(value) / (SELECT n FROM n) AS m, SQRT(SUM(value * value) / (SELECT n FROM n) - POWER(SUM(value) / (SELECT n FROM n), 2)) AS s FROM x GROUP BY 1), c AS (SELECT a.gene AS src, b.gene AS dst, SUM(a.value * b.value) / (SELECT n FROM n) AS p FROM x a JOIN x b USING (cell) WHERE a.gene < b.gene GROUP BY 1, 2) SELECT src, dst, ROUND((p - u.m * v.m) / (u.s * v.s), 6) AS weight FROM c JOIN m u ON u.gene = src JOIN m v ON v.gene = dst WHERE ABS((p - u.m * v.m) / (u.s * v.s)) >= 0.3")
+@query(f"WITH {B}, {CELLS}, m AS (SELECT gene, SUM(value) / (SELECT n FROM n) AS m, SQRT(SUM(value * value) / (SELECT n FROM n) - POWER(SUM(value) / (SELECT n FROM n), 2)) AS s FROM x GROUP BY 1), c AS (SELECT a.gene AS src, b.gene AS dst, SUM(a.value * b.value) / (SELECT n FROM n) AS p FROM x a JOIN x b USING (cell) WHERE a.gene < b.gene GROUP BY 1, 2) SELECT src, dst, ROUND((p - u.m * v.m) / (u.s * v.s), 6) AS weight FROM c JOIN m u ON u.gene = src JOIN m v ON v.gene = dst WHERE ABS((p - u.m * v.m) / (u.s * v.s)) >= 0.02")
 def feature_corr_graph(spark, d):
     f = brands(spark, d)
-    return graphs.correlated(f.x, f.num_cells, 0.3).select("src", "dst", *r6("weight"))
+    return graphs.correlated(f.x, f.num_cells, 0.02).select("src", "dst", *r6("weight"))
 
 
 @query(f"WITH {X}, c AS (SELECT cell, SUM(value) AS s, COUNT(*) AS k FROM x GROUP BY 1), g AS (SELECT gene, SUM(value) AS s, COUNT(*) AS k FROM x GROUP BY 1) SELECT 'c:' || cell AS src, 'g:' || gene AS dst, ROUND(k * value / s, 6) AS weight FROM x JOIN g USING (gene) UNION ALL SELECT 'g:' || gene, 'c:' || cell, ROUND(k * value / s, 6) FROM x JOIN c USING (cell)")
@@ -503,13 +504,15 @@ def split_data(spark, d):
     return f.with_split_sizes(n // 2, n // 10).splits.select("cell", "split")
 
 
-@query("SELECT c_custkey AS cell, CASE WHEN c_nationkey < 10 THEN 0 ELSE 1 END AS batch FROM customer")
+@query(f"WITH {X} SELECT c_custkey AS cell, CASE WHEN c_nationkey < 10 THEN 0 ELSE 1 END AS batch, COALESCE(SUM(value), 0) AS total, COUNT(value) AS entries FROM customer LEFT JOIN x ON cell = c_custkey GROUP BY c_custkey, c_nationkey")
 def append_batches(spark, d):
     f = parts(spark, d)
     low = f.keep_cells(f.obs.where("batch < 10"))
     high = f.keep_cells(f.obs.where("batch >= 10"))
     drop = lambda g: g.replace(obs=g.obs.drop("batch"))
-    return drop(low).append(drop(high)).obs.select("cell", "batch")
+    both = drop(low).append(drop(high), label_batch=True)
+    rows = both.x.groupBy("cell").agg(F.sum("value").alias("total"), F.count("*").alias("entries"))
+    return both.obs.join(rows, "cell", "left").select("cell", "batch", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 @query()
@@ -649,8 +652,8 @@ def sim_bures(spark, d):
 @query("SELECT COUNT(*) AS n FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def sim_common_genes(spark, d):
     lines = read(spark, d, "lineitem")[0]
-    side = lambda s: lines.where(F.col("l_returnflag") == s).select("l_partkey").distinct()
-    return side("A").join(side("R"), "l_partkey", "left_semi").agg(F.count("*").alias("n"))
+    side = lambda s: lines.where(F.col("l_returnflag") == s).select(F.col("l_partkey").alias("gene")).distinct()
+    return similarity.common_genes(side("A"), side("R"))
 
 
 # Pipelines and streams -------------------------------------------------------

@@ -62,12 +62,22 @@ def test_config(frame):
 def test_append_and_pop(spark, frame):
     shift = lambda df: df.withColumn("cell", F.col("cell") + 3)
     other = AnnotatedFrame(shift(frame.x), shift(frame.obs), frame.var).with_split_sizes(2)
-    both = frame.with_split_sizes(1).append(other)
+    # split sizes, cells and batches here are fixed values
+    assert "batch" not in frame.append(other).obs.columns
+    both = frame.with_split_sizes(1).append(other, label_batch=True)
     assert cells(both.split_cells("train")) == [0, 3, 4] and cells(both.split_cells("test")) == [1, 2, 5]
     assert [r.batch for r in both.obs.orderBy("cell").collect()] == [0, 0, 0, 1, 1, 1]
     named = frame.with_split_sizes(1).append(other, mode="rename", rename={"train": "ref", "test": "inf"})
     assert cells(named.split_cells("ref")) == [3, 4]
     assert cells(frame.append(other, mode="new_split", new_split="ref").split_cells("ref")) == [3, 4, 5]
+    mine = frame.with_split_sizes(1)
+    with pytest.raises(KeyError):
+        mine.append(other, mode="rename", rename={"train": "ref"})
+    for options in ({"mode": "rename", "rename": {"train": "test", "test": "inf"}}, {"mode": "new_split", "new_split": "train"}, {"mode": "rename"}, {"mode": "new_split"}, {"mode": "other"}):
+        with pytest.raises(ValueError):
+            mine.append(other, **options)
+    with pytest.raises(TypeError):
+        mine.append(other, mode="new_split", new_split=3)
     left = both.pop("train")
     assert cells(left.obs) == [1, 2, 5] and cells(left.split_cells("test")) == [1, 2, 5]
 

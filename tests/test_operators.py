@@ -38,13 +38,61 @@ def test_normalize_total(spark):
 
 def test_axis_modes(spark):
     x = long(spark, [[1, 1], [4, 4]])
-    got = lambda mode, axis: dense(normalize.by_axis(x, mode, axis, 2), (2, 2))
+    obs, var = x.select("cell").distinct(), x.select("gene").distinct()
+    got = lambda mode, axis: dense(normalize.by_axis(x, mode, axis, obs=obs, var=var), (2, 2))
     assert np.allclose(got("normalize", "gene"), [[0.2, 0.2], [0.8, 0.8]])
     assert np.allclose(got("normalize", "cell"), 0.5)
     assert np.allclose(got("standardize", "gene"), [[-1, -1], [1, 1]]) and np.allclose(got("standardize", "cell"), 0)
     assert np.allclose(got("minmax", "gene"), [[0, 0], [1, 1]]) and np.allclose(got("minmax", "cell"), 0)
     with pytest.raises(ValueError):
         normalize.by_axis(x, "other")
+    with pytest.raises(ValueError):
+        normalize.by_axis(x, eps=-2)
+    with pytest.raises(ValueError):
+        normalize.by_axis(x, "minmax")
+
+
+def test_shifted_zeros_are_entries(spark, counts):
+    x, obs, var = long(spark, counts), axis(spark, 20, "cell"), axis(spark, 13, "gene")
+    full = np.hstack([counts, np.zeros((20, 1))])
+    spread = full.std(0)
+    assert np.allclose(dense(normalize.by_axis(x, "standardize", obs=obs, var=var), full.shape), (full - full.mean(0)) / np.where(spread == 0, 1, spread))
+    wide = full.max(1, keepdims=True) - full.min(1, keepdims=True)
+    assert np.allclose(dense(normalize.by_axis(x, "minmax", "cell", obs=obs, var=var), full.shape), (full - full.min(1, keepdims=True)) / np.where(wide == 0, 1, wide))
+    halves = obs.withColumn("half", (F.col("cell") % 2).cast("long"))
+    want = np.zeros_like(full)
+    for k in (0, 1):
+        part = full[k::2]
+        want[k::2] = (part - part.mean(0)) / np.where(part.std(0) == 0, 1, part.std(0))
+    assert np.allclose(dense(normalize.by_axis(x, "standardize", group="half", obs=halves, var=var), full.shape), want)
+    assert normalize.by_axis(x, "standardize", obs=obs, var=var).count() == full.size
+    assert np.allclose(dense(normalize.total(x, 30, 0.4), counts.shape), excluded(counts, 30, 0.4))
+
+
+def excluded(m, target, share):
+    high = (m > share * m.sum(1, keepdims=True)).any(0)
+    t = m[:, ~high].sum(1, keepdims=True)
+    return m / np.where(t > 0, t / target, 1)
+
+
+def test_gini_markers_keep_best_or_above_thresholds(spark):
+    rng = np.random.default_rng(5)
+    e, d, n = rng.random((3, 30)) * (rng.random((3, 30)) > 0.3), rng.random((3, 30)), [5, 9, 2]
+    e[:, 29] = d[:, 29] = 0
+    rows = lambda m: spark.createDataFrame([(t, g, float(m[t, g])) for t in range(3) for g in range(30) if m[t, g]], "type long, gene long, value double")
+    got = {(r.type, r.gene): (r.score, r["rank"]) for r in filters.gini_markers(rows(e), rows(d), spark.createDataFrame(list(enumerate(n)), "type long, n long"), "type", genes=axis(spark, 30, "gene")).collect()}
+    want = {}
+    for t in range(3):
+        others = [j for j in range(3) if j != t]
+        score = np.ones(30)
+        for m in (e, d):
+            rest = sum(m[j] * n[j] for j in others) / sum(n[j] for j in others)
+            score *= np.divide(np.abs(m[t] - rest), 2 * (m[t] + rest), out=np.zeros(30), where=m[t] + rest > 0) * np.where(m[t] > rest, 1, 0.1)
+        order = sorted(range(30), key=lambda g: (-round(score[g], 12), g))
+        for k, g in enumerate(order):
+            if k < 5 or e[t, g] > 0.2 and d[t, g] > 0.2:
+                want[t, g] = (score[g], k + 1)
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
 
 
 def test_log_and_tfidf(spark, counts):
