@@ -164,28 +164,61 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Ite
             yield b.slice(at, step)
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, component): for every node of links the smallest node that it reaches.
-
-    Alternates large-star and small-star steps; each step aggregates with map-side
-    combining and re-joins on the node, so a hub's edges may be split over tasks.
-    Stops when a round leaves the edges as they were.
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node that each reaches) of the edges u - v."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        before = low.copy()
+        least = np.minimum(low[a], low[b])
+        for end in (a, b):
+            np.minimum.at(low, end, least)
+            np.minimum.at(low, before[end], least)
+        low = low[low]  # pointers may jump, since a label is a node
+        if (low == before).all():
+            return nodes, nodes[low]
+
+
+def contracted(edges: DataFrame, tasks: int) -> DataFrame:
+    """(u, v): the edges of each of some tasks as stars around the smallest node reached there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            nodes, low = least_reached(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+            star = nodes != low
+            for at in range(0, int(star.sum()), 1 << 16):
+                yield pa.record_batch([pa.array(x[star][at : at + (1 << 16)]) for x in (nodes, low)], names=["u", "v"])
+
+    return edges.coalesce(tasks).mapInArrow(run, "u long, v long")
+
+
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, task_edges: int = 1_000_000) -> DataFrame:
+    """(node, component): for every node of links (saved) the smallest node that it reaches.
+
+    Tasks of about task_edges edges turn them into stars; that is all if one task does.
+    Else large-star and small-star steps follow in turns; each aggregates with map-side
+    combining and re-joins on the node, so a hub's edges may be split over tasks. Stops
+    when a round leaves the edges as they were.
     """
-    # large = greater end, small = smaller end
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    before, old, n = None, [], links.count()
+    edges, n = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")), links.count()
+    before, old = None, []
     for _ in range(rounds):
+        tasks = -(-n // task_edges) or 1
+        edges = saved(contracted(edges, tasks), "star")
+        if tasks == 1:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = saved(large, "star", n)
+        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "star", n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = saved(small.where("u > v").distinct(), "star", n)
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for done in old:
             release(done)
         old = [large, edges]
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before, n = now, now.n

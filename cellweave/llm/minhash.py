@@ -7,10 +7,8 @@
    that their similarity reaches the threshold is below the miss probability. Survivors
    are confirmed on full shingle sets.
 4. Bands whose classes are still in several components are gone through again, so that no
-   link between components is left out. A shingle that only one component holds cannot be
-   part of such a link: classes whose other shingles are too few for the threshold are put
-   aside. Of what is left, the classes outside a band's largest component are compared in
-   the same way, in blocks, with those inside and with each other.
+   link between components is left out: the classes outside a band's largest component are
+   compared in the same way, in blocks, with those inside and with each other.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer words
 than a shingle make one shingle; each row is judged by its own text, also where a doc_id
@@ -236,44 +234,14 @@ def compare_block(groups: np.ndarray, parts: np.ndarray, sigs: np.ndarray, texts
     return links
 
 
-def held_shingles(people: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """(id, component, shingle): a row for each shingle of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for b in slices(batches, 4 << 20):
-            sets = [scheme.shingles(t, hasher) for t in b.column(2).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-            flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(flat.view(np.int64))], names=["id", "component", "shingle"])
-
-    return people.join(texts, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, shingle long")
-
-
-def linkable(members: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Scheme) -> DataFrame:
-    """The members (key, id, component) of bands with several components that may link with another one.
-
-    A class with n shingles, k of which other components hold as well, has at most
-    similarity k / n with any class of those.
-    """
-    several = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    members = members.join(saved(several, "several"), "key")  # written first, so that a hot band can be split
-    held = saved(held_shingles(members.select("id", "component").distinct(), texts, scheme), "held")
-    shared = held.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    rest = held.join(saved(shared, "shared"), "shingle").groupBy("id").agg(F.count("*").alias("k"))
-    stay = classes.select("id", "n_shingles").join(rest, "id").where(F.col("k") * 100 >= F.col("n_shingles") * scheme.percent).select("id")
-    return saved(members.join(stay, "id", "left_semi"), "linkable")
-
-
 def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, scheme: Scheme, block: int = 2048) -> DataFrame:
     """Links (a, b) of components, by links of classes within bands.
 
-    members: (key, id, component). Bands with the same members as another have nothing to
-    add. A band of at most `block` classes is one task. Of others, the largest component
+    members: (key, id, component). Bands of one component, or with the same members as
+    another, have nothing to add. A band of at most `block` classes is one task. Of others, the largest component
     and the rest are dealt into parts of about `block` classes; each part of the rest
     meets every part.
     """
-    members = linkable(members, classes, texts, scheme)
     sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"))
     bands = sizes.groupBy("key").agg(F.count("*").alias("several"), F.sum("n").alias("all"), F.sum("print").alias("print"), F.max(F.struct("n", "component")).alias("top"))
     bands = bands.where("several > 1").groupBy("all", "print").agg(F.min(F.struct("key", "top")).alias("b")).select("all", "b.key", "b.top")
@@ -314,16 +282,16 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     pairs = members.where("id > lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     involved = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "text_key")
     texts = saved(keyed(docs).join(involved, ["doc_id", "text_key"]).dropDuplicates(["id"]).select("id", "text"), "texts")
-    links = saved(confirm(saved(bayes_filter(pairs, classes, scheme), "pairs"), texts, scheme), "links")
-    parts = saved(connected_components(links), "parts")
+    links = saved(confirm(bayes_filter(pairs, classes, scheme), texts, scheme), "links")
+    parts = connected_components(links)
     known = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = saved(residual_links(saved(known, "bands"), classes, texts, scheme), "links")
+    more = saved(residual_links(known, classes, texts, scheme), "links")
     known = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", "set_b", "doc_id", F.coalesce("component", "id").alias("component"))
     if more.take(1):
         wider = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("wider"))
         known = known.join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
     first = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = saved(known.join(first, "component").select(F.col("id").alias("set_a"), "set_b", "component_id"), "labels")
+    known = known.join(first, "component").select(F.col("id").alias("set_a"), "set_b", "component_id")
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b", "text_key").join(known, ["set_a", "set_b"], "left")
     linked = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", linked.alias("component_id"), "text_key")

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from cellweave.llm import minhash
+from cellweave.llm import common, minhash
 
 
 def groups(texts, percent=85, n=3):
@@ -47,3 +47,19 @@ def test_one_of_each_with_clashing_names_and_maps(spark):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_components_by_many_tasks(spark):
+    """Paths, stars and loops, with tasks of a few edges and with one task."""
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(40)] + [(1000, 1001 + k) for k in range(30)] + [(5000, 5000)] + [(rng.randrange(6000, 6060), rng.randrange(6000, 6060)) for _ in range(40)]
+    low = {}
+    for a, b in edges:
+        low.setdefault(a, a), low.setdefault(b, b)
+    for _ in range(200):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    links = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for size in (7, 1000):
+        got = {r.node: r.component for r in common.connected_components(links, task_edges=size).collect()}
+        assert got == {k: v for k, v in low.items() if k != 5000}
