@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import top_k_by
+from .ordering import top_k_by, written
 from .stats import ratio
 
 
@@ -66,6 +66,76 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, itself
     return top_k_by(found, k, ["src"], "distance", "dst")
 
 
+def ranks(vec: Column | str) -> Column:
+    """The ranks of an array's numbers, tied ones sharing the mean of their ranks."""
+    v = F.col(vec) if isinstance(vec, str) else vec
+    return F.transform(v, lambda x: F.size(F.filter(v, lambda y: y < x)) + (F.size(F.filter(v, lambda y: y == x)) + 1) / 2.0)
+
+
+def pair_distances(vectors: DataFrame, kind: str = "euclidean", block: int = 2048) -> DataFrame:
+    """(src, dst, distance) of all pairs of cells, a cell with itself included: a dense table by nature.
+
+    kind: euclidean, pearson or spearman (1 - correlation; constant vectors correlate with
+    nothing). Blocks of cells meet in tasks; use within_radius or nearest where pairs far
+    apart are not wanted.
+    """
+    if kind not in ("euclidean", "pearson", "spearman"):
+        raise ValueError(f"unknown distance {kind!r}")
+    v = vectors.select("cell", (ranks("vec") if kind == "spearman" else F.col("vec")).alias("vec"))
+    n = max(1, -(-v.count() // block))
+    own = F.pmod(F.xxhash64("cell"), F.lit(n))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left, right = (v.select(F.col("cell").alias("id"), F.col("vec").alias("v"), own.alias(i)).withColumn(j, every) for i, j in (("i", "j"), ("j", "i")))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        x, y = (np.array(t["v"].to_pylist(), dtype=np.float64) for t in (a, b))
+        if kind == "euclidean":
+            far = np.stack([np.sqrt(((y - r) ** 2).sum(1)) for r in x])
+        else:
+            x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+            size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+            far = 1 - np.divide(x @ y.T, size, out=np.zeros_like(size), where=size > 0)
+        return pa.table({"src": np.repeat(a["id"].to_numpy(), b.num_rows), "dst": np.tile(b["id"].to_numpy(), a.num_rows), "distance": far.ravel()})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(compare, "src long, dst long, distance double")
+
+
+def with_colour(points: DataFrame, colours: list[str], alpha: float) -> DataFrame:
+    """(cell, vec): coordinates px, py and a third one from colours.
+
+    The third is the mean of the colours weighted by their variances, standardised, times
+    the greater deviation of px and py and alpha.
+    """
+    s = points.agg(*(F.var_pop(c).alias(f"_v{k}") for k, c in enumerate(colours)), F.greatest(F.stddev_pop("px"), F.stddev_pop("py")).alias("_spread"))
+    total = sum((F.col(f"_v{k}") for k in range(1, len(colours))), F.col("_v0"))
+    z = sum((F.col(c) * F.col(f"_v{k}") for k, c in list(enumerate(colours))[1:]), F.col(colours[0]) * F.col("_v0")) / total
+    rows = points.join(F.broadcast(s)).select("cell", "px", "py", z.alias("z"), "_spread")
+    m = rows.agg(F.avg("z").alias("_m"), F.stddev_pop("z").alias("_s"))
+    third = F.coalesce(ratio(F.col("z") - F.col("_m"), F.col("_s")), F.lit(0.0)) * F.col("_spread") * alpha
+    return rows.join(F.broadcast(m)).select("cell", F.array(F.col("px").cast("double"), F.col("py").cast("double"), third).alias("vec"))
+
+
+def morphology_weights(points: DataFrame, radius: float, images: DataFrame, genes: DataFrame) -> DataFrame:
+    """(src, dst, weight) of cells less than a radius apart: cosine of image vectors, at least 0, times correlation of gene vectors."""
+    edges = within_radius(points, radius).where(F.col("distance") < radius).select("src", "dst")
+    for name, table in (("m", images), ("g", genes)):
+        for side in ("src", "dst"):
+            edges = edges.join(table.select(F.col("cell").alias(side), F.col("vec").alias(f"{name}_{side}")), side)
+    norm = lambda a: F.sqrt(dot(a, a))
+    centred = lambda a: F.transform(a, lambda v: v - F.aggregate(a, F.lit(0.0), lambda s, u: s + u) / F.size(a))
+    a, b = F.col("m_src"), F.col("m_dst")
+    rows = edges.select("src", "dst", F.greatest(F.lit(0.0), F.coalesce(ratio(dot(a, b), norm(a) * norm(b)), F.lit(0.0))).alias("look"), centred(F.col("g_src")).alias("u"), centred(F.col("g_dst")).alias("v"))
+    return rows.select("src", "dst", (F.col("look") * F.coalesce(ratio(dot("u", "v"), norm(F.col("u")) * norm(F.col("v"))), F.lit(0.0))).alias("weight"))
+
+
+def looped(edges: DataFrame) -> DataFrame:
+    """An edge list with a loop of weight 1 for each node."""
+    nodes = edges.select("src").union(edges.select("dst")).distinct()
+    return edges.unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight")))
+
+
 def mutual(edges: DataFrame) -> DataFrame:
     """Edges whose reverse is there too, once (src < dst)."""
     return edges.where("src < dst").join(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
@@ -144,8 +214,7 @@ def propagated(x: DataFrame, edges: DataFrame, rounds: int = 2, own: float = 0.5
     """Repeated smoothing; lineage is cut each round where a checkpoint folder is set."""
     for _ in range(rounds):
         x = smoothed(x, edges, own)
-        if x.sparkSession.sparkContext.getCheckpointDir():
-            x = x.checkpoint()
+        x = written(x)
     return x
 
 
@@ -207,5 +276,5 @@ def louvain(edges: DataFrame, rounds: int = 10) -> DataFrame:
         turn = F.pmod(F.xxhash64("cell"), F.lit(2)) == t % 2
         base = F.coalesce("kept", -0.0 * F.col("k"))
         labels = moved.select("cell", F.when(turn & (F.col("gain") > base), F.col("to")).otherwise(F.col("old")).alias("label"), "k")
-        labels = labels.checkpoint() if labels.sparkSession.sparkContext.getCheckpointDir() else labels.persist()
+        labels = written(labels)
     return labels.select("cell", "label")

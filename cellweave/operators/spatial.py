@@ -49,17 +49,16 @@ def row_mass(edges: DataFrame, n_cells: int, length: float) -> DataFrame:
 
 def length_scale(edges: DataFrame, n_cells: int, target: float, low: float = 1e-3, high: float = 1e3, tolerance: float = 1e-3, rounds: int = 60) -> float:
     """The length at which the row mass is the target, by bisection; each step is one aggregate."""
-    edges = edges.where("src <> dst").select("src", "dst", "distance").persist()
-    try:
-        for _ in range(rounds):
-            middle = (low + high) / 2
-            p = row_mass(edges, n_cells, middle).first().p or 0.0
-            if abs(p - target) <= tolerance:
-                break
-            low, high = (middle, high) if p < target else (low, middle)
-        return middle
-    finally:
-        edges.unpersist()
+    from .ordering import written
+
+    edges = written(edges.where("src <> dst").select("src", "dst", "distance"))
+    for _ in range(rounds):
+        middle = (low + high) / 2
+        p = row_mass(edges, n_cells, middle).first().p or 0.0
+        if abs(p - target) <= tolerance:
+            break
+        low, high = (middle, high) if p < target else (low, middle)
+    return middle
 
 
 def neighbour_clusters(edges: DataFrame, labels: DataFrame, target: object, share: float = 0.5) -> DataFrame:
@@ -143,3 +142,28 @@ def random_pairs(labels: DataFrame, n: int, seed: int = 0) -> DataFrame:
     at = with_position(labels, "cell")
     left, right = (at.select(F.col("position").alias(p), F.col("cell").alias(c), F.col("label").alias(f"{c}_label")) for p, c in (("p", "a"), ("q", "b")))
     return rows.where("p <> q").join(left, "p").join(right, "q").select("a", "b", (F.col("a_label") == F.col("b_label")).alias("same"))
+
+
+def pseudo_spots(x: DataFrame, obs: DataFrame, label: str, n: int = 1000, low: int = 8, high: int = 12, most_types: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((cell, gene, value), (cell, label, share)): sums of cells drawn with repeats from a few types.
+
+    A spot has low..high cells and 1..most_types types, types without repeats; each cell
+    is of one of them. All draws are by hash of the spot and the draw.
+    """
+    from .sampling import uniform
+
+    types = obs.groupBy(label).agg(F.count("*").alias("size"))
+    every = types.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("type"), "size"))).alias("types"))
+    spots = obs.sparkSession.range(n).select((-1 - F.col("id")).alias("spot")).join(F.broadcast(every))
+    spots = spots.withColumn("k", low + F.floor(uniform(seed, "spot") * (high - low + 1))).withColumn("t", 1 + F.floor(uniform(seed + 1, "spot") * F.least(F.lit(most_types), F.size("types"))))
+    shuffled = F.array_sort(F.transform("types", lambda v: F.struct(F.xxhash64(F.lit(seed + 2), F.col("spot"), v["type"]).alias("h"), v["type"].alias("type"), v["size"].alias("size"))))
+    chosen = spots.select("spot", "k", F.slice(shuffled, F.lit(1), F.col("t").cast("int")).alias("chosen"))
+    draws = chosen.select("spot", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("draw"), "chosen")
+    which = F.element_at("chosen", (1 + F.floor(uniform(seed + 3, "spot", "draw") * F.size("chosen"))).cast("int"))
+    draws = draws.select("spot", "draw", which.alias("w")).select("spot", F.col("w.type").alias(label), (1 + F.floor(uniform(seed + 4, "spot", "draw") * F.col("w.size"))).alias("place"))
+    placed = obs.select("cell", label).withColumn("place", F.row_number().over(Window.partitionBy(label).orderBy("cell")))
+    picked = draws.join(placed, [label, "place"]).groupBy("spot", "cell", label).agg(F.count("*").alias("times"))
+    sums = x.join(picked, "cell").groupBy(F.col("spot").alias("cell"), "gene").agg(F.sum(F.col("value") * F.col("times")).alias("value"))
+    share = picked.groupBy("spot", label).agg(F.sum("times").alias("c"))
+    share = share.withColumn("share", F.col("c") / F.sum("c").over(Window.partitionBy("spot")))
+    return sums, share.select(F.col("spot").alias("cell"), label, "share")

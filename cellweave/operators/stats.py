@@ -127,3 +127,8 @@ def majority_vote(cells: DataFrame, group: str, label: str, least: float = 0.0)
     total = cells.groupBy(group).agg(F.count("*").alias("all"))
     top = top_k_by(counts, 1, [group], F.desc("n"), label).join(total, group)
     return top.select(group, F.when(F.col("n") / F.col("all") >= least, F.col(label)).otherwise("Heterogeneous").alias(label))
+
+
+def label_frequency(obs: DataFrame, label: str) -> DataFrame:
+    """(label, n) in falling order of n, ties by label."""
+    return obs.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label)

@@ -429,7 +429,7 @@ def modularity(spark, d):
 @query()
 def louvain_labels(spark, d):
     edges = graphs.mutual(graphs.nearest(vectors(spark, d).drop("label"), 10)).select("src", "dst", F.lit(1.0).alias("weight"))
-    return graphs.louvain(edges.persist(), 4)
+    return graphs.louvain(edges, 4)
 
 
 @query()
@@ -465,7 +465,7 @@ def svd_scores(spark, d):
     return features.projected(vectors(spark, d), 8, centre=False)
 
 
-@query()
+@query(None)
 def svd_spectrum(spark, d):
     return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(features.spectrum(vectors(spark, d), False))], "i int, value double")
 
@@ -606,7 +606,7 @@ def sim_cosine(spark, d):
     return similarity.mean_cosine(*_halves(spark, d)).select(*r6("similarity"))
 
 
-@query()
+@query(f"WITH {_PAIRS}, c AS (SELECT LIST_TRANSFORM(vec, lambda v: v - LIST_AVG(vec)) AS u FROM a), g AS (SELECT LIST_TRANSFORM(vec, lambda v: v - LIST_AVG(vec)) AS u FROM b) SELECT ROUND(AVG(LIST_COSINE_SIMILARITY(c.u, g.u)), 6) AS similarity FROM c, g")
 def sim_pearson(spark, d):
     return similarity.mean_cosine(*_halves(spark, d), centred=True).select(*r6("similarity"))
 
@@ -777,6 +777,108 @@ def kruskal_wallis(spark, d):
     return selection.kruskal(rows, "c_mktsegment", "c_acctbal").select(F.round("h", 5).alias("h"))
 
 
+_DIST = f"{EMB}, c AS (SELECT cell, vec, LIST_TRANSFORM(vec, lambda v: v - LIST_AVG(vec)) AS u, LIST_TRANSFORM(vec, lambda v: LEN(LIST_FILTER(vec, lambda w: w < v)) + (LEN(LIST_FILTER(vec, lambda w: w = v)) + 1) / 2.0) AS r FROM e), d AS (SELECT cell, vec, u, LIST_TRANSFORM(r, lambda v: v - LIST_AVG(r)) AS t FROM c)"
+
+
+@query(f"WITH {EMB} SELECT a.cell AS src, b.cell AS dst, ROUND(LIST_DISTANCE(a.vec, b.vec), 6) AS distance FROM e a, e b")
+def pair_distances(spark, d):
+    return graphs.pair_distances(vectors(spark, d)).select("src", "dst", *r6("distance"))
+
+
+@query(f"WITH {_DIST} SELECT a.cell AS src, b.cell AS dst, ROUND(1 - LIST_COSINE_SIMILARITY(a.u, b.u), 6) + 0.0 AS distance FROM d a, d b")
+def pair_distances_pearson(spark, d):
+    return graphs.pair_distances(vectors(spark, d), "pearson").select("src", "dst", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(f"WITH {_DIST} SELECT a.cell AS src, b.cell AS dst, ROUND(1 - LIST_COSINE_SIMILARITY(a.t, b.t), 6) + 0.0 AS distance FROM d a, d b")
+def pair_distances_spearman(spark, d):
+    return graphs.pair_distances(vectors(spark, d), "spearman").select("src", "dst", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(f"""WITH {EMB}, p AS (SELECT cell, vec[1] AS px, vec[2] AS py, vec[3] AS r, vec[4] AS g, vec[5] AS b FROM e), v AS (SELECT VAR_POP(r) AS r, VAR_POP(g) AS g, VAR_POP(b) AS b, GREATEST(STDDEV_POP(px), STDDEV_POP(py)) AS s FROM p),
+z AS (SELECT cell, px, py, (p.r * v.r + p.g * v.g + p.b * v.b) / (v.r + v.g + v.b) AS z FROM p, v), q AS (SELECT cell, px, py, (z - AVG(z) OVER ()) / STDDEV_POP(z) OVER () * (SELECT s FROM v) * 0.5 AS z FROM z)
+SELECT a.cell AS src, b.cell AS dst, ROUND(SQRT(POWER(a.px - b.px, 2) + POWER(a.py - b.py, 2) + POWER(a.z - b.z, 2)), 6) AS distance FROM q a, q b""")
+def spagcn_distances(spark, d):
+    obs = vectors(spark, d).select("cell", *(F.col("vec")[k].alias(c) for k, c in enumerate(("px", "py", "r", "g", "b"))))
+    frame = transforms.colour_distance_graph(AnnotatedFrame(None, obs, None), ("r", "g", "b"), 0.5)
+    return frame.obsp["SpaGCNGraph"].select("src", "dst", *r6("distance"))
+
+
+@query(f"""WITH {EMB}, p AS (SELECT cell, vec[1] AS px, vec[2] AS py, vec[1:32] AS m, vec[33:64] AS g FROM e), c AS (SELECT cell, px, py, m, LIST_TRANSFORM(g, lambda v: v - LIST_AVG(g)) AS g FROM p)
+SELECT a.cell AS src, b.cell AS dst, ROUND(GREATEST(0, LIST_COSINE_SIMILARITY(a.m, b.m)) * LIST_COSINE_SIMILARITY(a.g, b.g), 6) + 0.0 AS weight FROM c a, c b WHERE SQRT(POWER(a.px - b.px, 2) + POWER(a.py - b.py, 2)) < 0.05""")
+def morphology_weights(spark, d):
+    v, half = vectors(spark, d), lambda a: F.slice("vec", a, 32).alias("vec")
+    return graphs.morphology_weights(points(spark, d), 0.05, v.select("cell", half(1)), v.select("cell", half(33))).select("src", "dst", (F.round("weight", 6) + 0.0).alias("weight"))
+
+
+@query(f"WITH {_KNN.replace(' WHERE a.cell <> b.cell', '').replace('rank <= 10', 'rank <= 6')} SELECT src, dst, rank FROM k")
+def heteronet_graph(spark, d):
+    frame = AnnotatedFrame(None, vectors(spark, d).select("cell"), None, obsm={"CellPCA": vectors(spark, d)})
+    return transforms.heteronet_graph(frame, 5).obsp["HeteronetGraph"].select("src", "dst", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {X}, c AS (SELECT cell, SUM(value) AS s, COUNT(*) AS k FROM x GROUP BY 1), g AS (SELECT gene, SUM(value) AS s, COUNT(*) AS k FROM x GROUP BY 1) SELECT 'c:' || cell AS src, 'g:' || gene AS dst, ROUND(k * value / s, 6) AS weight FROM x JOIN g USING (gene) UNION ALL SELECT 'g:' || gene, 'c:' || cell, ROUND(k * value / s, 6) FROM x JOIN c USING (cell) UNION ALL SELECT 'c:' || cell, 'c:' || cell, 1.0 FROM c UNION ALL SELECT 'g:' || gene, 'g:' || gene, 1.0 FROM g")
+def cell_feature_graph(spark, d):
+    return transforms.cell_feature_graph(parts(spark, d)).uns["CellFeatureGraph"].select("src", "dst", *r6("weight"))
+
+
+@query(f"WITH {_RADIUS}, e AS (SELECT src, dst, 1 / GREATEST(distance, 1e-12) AS w FROM r WHERE src <> dst), a AS (SELECT src, dst, w FROM e UNION ALL SELECT DISTINCT src, src, 1.0 FROM e), g AS (SELECT src, SUM(w) AS d FROM a GROUP BY 1) SELECT a.src, a.dst, ROUND(w / SQRT(u.d * v.d), 6) AS weight FROM a JOIN g u ON u.src = a.src JOIN g v ON v.src = a.dst")
+def spatial_links_soft(spark, d):
+    frame = AnnotatedFrame(None, points(spark, d), None)
+    return transforms.spatial_links(frame, 0.05, "soft").obsp["stdgcnGraph"].select("src", "dst", *r6("weight"))
+
+
+@query("SELECT c_mktsegment AS cell_type, COUNT(*) AS n FROM customer GROUP BY 1")
+def label_frequency(spark, d):
+    return stats.label_frequency(parts(spark, d).obs, "cell_type")
+
+
+@query(f"WITH {X}, {CELLS}, t AS (SELECT cell, SUM(value) AS t FROM x GROUP BY 1), o AS (SELECT cell_type, COUNT(*) AS k FROM cells GROUP BY 1), s AS (SELECT c_custkey AS cell, c_mktsegment AS cell_type, COALESCE(t, 0) AS n_counts, (SELECT COUNT(*) FROM x WHERE x.cell = c_custkey) AS n_genes, DENSE_RANK() OVER (ORDER BY c_mktsegment) - 1 AS idx FROM customer LEFT JOIN t ON cell = c_custkey) SELECT cell, cell_type, n_counts, n_genes, idx FROM s")
+def annotated_cells(spark, d):
+    config = {"type": "preprocessor", "pipeline": [{"type": "filter.cell", "target": "FilterCellsPlaceHolder"}, {"type": "misc", "target": "CelltypeTransform", "params": {"ct_key": "cell_type", "out": "idx"}}]}
+    return Pipeline(config)(parts(spark, d)).obs.select("cell", "cell_type", "n_counts", "n_genes", F.col("idx").cast("long").alias("idx"))
+
+
+@query()
+def hvg_raw_batches(spark, d):
+    f = brands(spark, d)
+    return selection.by_raw_counts(f.x, f.obs, f.var, 10, batch="cell_type")
+
+
+@query(f"""WITH {B}, {CELLS}, {BRANDS}, y AS (SELECT cell_type, gene, value FROM x JOIN cells USING (cell)), k AS (SELECT cell_type, COUNT(*) AS n FROM cells GROUP BY 1),
+m AS (SELECT k.cell_type, g.gene, MAX(k.n) AS n, COALESCE(SUM(value), 0) / MAX(k.n) AS mean, COALESCE(SUM(value * value), 0) / MAX(k.n) AS q FROM k CROSS JOIN genes g LEFT JOIN y ON y.cell_type = k.cell_type AND y.gene = g.gene GROUP BY 1, 2),
+t AS (SELECT cell_type, gene, mean, (q - mean * mean) * n / (n - 1) / mean AS dispersion FROM m),
+b AS (SELECT t.*, LEN(LIST_FILTER(c.cuts, lambda v: v < mean)) AS bin FROM t JOIN (SELECT cell_type, QUANTILE_CONT(mean, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM t GROUP BY 1) c USING (cell_type)),
+o AS (SELECT *, MEDIAN(dispersion) OVER (PARTITION BY cell_type, bin) AS mid FROM b), a AS (SELECT *, MEDIAN(ABS(dispersion - mid)) OVER (PARTITION BY cell_type, bin) AS mad FROM o),
+z AS (SELECT *, (dispersion - mid) / NULLIF(mad, 0) AS normalized FROM a), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_type ORDER BY normalized DESC NULLS LAST, gene) AS place FROM z)
+SELECT gene, ROUND(AVG(mean), 6) AS mean, ROUND(AVG(dispersion), 6) AS dispersion, ROUND(AVG(COALESCE(normalized, 0)), 4) AS normalized, SUM(CASE WHEN place <= 5 AND normalized IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS batches FROM r GROUP BY 1""")
+def hvg_dispersion_batches(spark, d):
+    f = brands(spark, d)
+    got = selection.batch_dispersions(f.x, f.obs, f.var, 5, 5, "cell_ranger", "cell_type")
+    return got.select("gene", *r6("mean", "dispersion"), F.round("normalized", 4).alias("normalized"), F.col("batches").cast("long").alias("batches"))
+
+
+@query()
+def weighted_feature_pca(spark, d):
+    return transforms.weighted_pca(brands(spark, d), 8).obsm["WeightedFeaturePCA"]
+
+
+@query()
+def weighted_feature_svd(spark, d):
+    return transforms.weighted_svd(brands(spark, d), 0.9).obsm["WeightedFeatureSVD"]
+
+
+@query()
+def pseudo_spots(spark, d):
+    f = parts(spark, d)
+    return spatial.pseudo_spots(f.x, f.obs, "cell_type", 300)[1]
+
+
+@query()
+def stabilized_residuals(spark, d):
+    return transforms.stabilized_residuals(brands(spark, d)).layers["SpatialIDEFeature"]
+
+
 # Mining of results: customers stand for runs, their balance for the score -----
 
 
