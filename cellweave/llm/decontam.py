@@ -1,9 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is the stated query set. It is taken in blocks of bounded size; for each
-block one scan finds, document by document, the items with a matched n-gram, and aligns
-each with the stretches of the document that hold one, unless too few of the item's words
-occur in a stretch for the score. How often other documents hold an item does not matter,
+The benchmark is the stated query set. It is taken in blocks of bounded size, some of
+which go through the documents together; a scan finds, document by document, the items
+with a matched n-gram, and aligns each with the stretches of the document that hold one,
+unless too few of the item's words occur in a stretch for the score. How often other documents hold an item does not matter,
 unless a caller asks for a gate by rarity: then a scan before counts in how many documents
 each n-gram occurs. Nothing but counts is shuffled.
 
@@ -15,6 +15,7 @@ an id are separate; equal alignments go to the earlier one; extra columns are ig
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mix, slices
 
 BREAKS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
@@ -31,26 +32,33 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if not text else text.lower().encode("utf-8", "surrogatepass").translate(BREAKS).split()
 
 
-def align(item: np.ndarray, part: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """Smith-Waterman with linear gaps: (score, start, end) of the best local alignment in part."""
-    n, m = len(item), len(part)
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    slope = np.arange(m + 1, dtype=np.int32) * -gap
-    for i in range(1, n + 1):
-        t = h[i]
-        np.maximum(h[i - 1, :-1] + np.where(part == item[i - 1], match, mismatch), h[i - 1, 1:] + gap, out=t[1:])
-        np.maximum(t, 0, out=t)
-        t[:] = np.maximum.accumulate(t + slope) - slope
-    i, j = divmod(int(h.argmax()), m + 1)
-    best, end = int(h[i, j]), j
-    while h[i, j] > 0:
-        if h[i, j] == h[i - 1, j - 1] + (match if part[j - 1] == item[i - 1] else mismatch):
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return best, j, end
+def best_end(item: np.ndarray, part: np.ndarray, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
+    """(score, words of item, words of part) at the end of the best local alignment, the first in item and then in part; one row at a time."""
+    row, best = np.zeros(len(part) + 1, dtype=np.int32), (0, 0, 0)
+    slope = np.arange(len(part) + 1, dtype=np.int32) * -gap
+    for i in range(len(item)):
+        now = np.zeros_like(row)
+        np.maximum(row[:-1] + np.where(part == item[i], match, mismatch), row[1:] + gap, out=now[1:])
+        np.maximum(now, 0, out=now)
+        row = np.maximum.accumulate(now + slope) - slope
+        high = int(row.max())
+        if high > best[0]:
+            best = (high, i + 1, int(row.argmax()))
+    return best
+
+
+def align(item: np.ndarray, part: np.ndarray, least: int = 1, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
+    """Smith-Waterman with linear gaps: (score, start, end) of the best local alignment in part, in linear space.
+
+    The start is found by aligning backwards from the end; for scores below `least` it is
+    not sought.
+    """
+    score, i, j = best_end(item, part, match, mismatch, gap)
+    if score < max(least, 1):
+        return score, 0, 0
+    low = max(0, j - i - match * i // -gap)  # more words of part than that cost more gaps than there are matches
+    _, _, back = best_end(item[:i][::-1], part[low:j][::-1], match, mismatch, gap)
+    return score, j - back, j
 
 
 class ItemBlock:
@@ -79,9 +87,15 @@ class ItemBlock:
         """Codes of n consecutive word ids; an unknown word (0) only passes as padding of a short item."""
         out = ids[: len(ids) - self.n + 1].copy()
         for k in range(1, self.n):
-            out = out * self.base + ids[k : len(ids) - self.n + 1 + k]
+            out = self.coded(out, ids[k : len(ids) - self.n + 1 + k])
         return out
 
+    def coded(self, code: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The code of an n-gram with one more word: a number to the base, or a 64-bit hash if that would not fit."""
+        if self.base**self.n < 1 << 62:
+            return code * self.base + ids
+        return mix(code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)).view(np.int64)
+
     def ids_of(self, words: list[bytes]) -> np.ndarray:
         get = self.known.get
         return np.array([get(w, 0) for w in words], dtype=np.int64)
@@ -98,7 +112,8 @@ class ItemBlock:
             at = np.flatnonzero(run)
             code = np.zeros(len(at), dtype=np.int64)
             for k in range(self.n):
-                code = code * self.base + (ids[at + k] if k < size else 0)
+                word = ids[at + k] if k < size else np.zeros(len(at), dtype=np.int64)
+                code = word if k == 0 else self.coded(code, word)
             k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             ok = self.codes[k] == code
             found_at.append(at[ok])
@@ -130,7 +145,7 @@ class ItemBlock:
                 low, high = max(0, group[0] - len(item)), min(len(ids), group[-1] + self.n + len(item))
                 if np.isin(item, ids[low:high]).sum() < max(score * len(item), best[0] / 2):
                     continue
-                got = align(item, ids[low:high])
+                got = align(item, ids[low:high], max(int(np.ceil(2 * score * len(item))), best[0] + 1))
                 if got[0] > best[0]:
                     best = (got[0], low + got[1], low + got[2])
             if best[0] >= score * 2 * len(item):
@@ -172,26 +187,29 @@ def _weigh(docs: DataFrame, block: ItemBlock) -> None:
     block.bits = np.log2((counts[-1] + 1) / (counts[:-1] + 1))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least_bits: float | None = None, least_grams: int = 1, score: float = 0.5, block_words: int = 200_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least_bits: float | None = None, least_grams: int = 1, score: float = 0.5, block_words: int = 200_000, blocks: int = 8) -> DataFrame:
     """doc_id, item_id, score, start_word, end_word: each benchmark item that a document holds.
 
     score is the alignment score over that of a perfect copy. An item is aligned if
     least_grams of its n-grams are matched (by default one) or, where least_bits is given,
-    matched ones tell so much. block_words bounds what is sent to the tasks at once.
+    matched ones tell so much. block_words bounds a block of the benchmark and blocks how
+    many are sent to the tasks at once, for one scan of the documents.
     """
     schema = "doc_id long, item_id long, score double, start_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(benchmark, n, block_words):
+    every = item_blocks(benchmark, n, block_words)
+    while some := list(itertools.islice(every, blocks)):
         if least_bits is not None:
-            _weigh(docs, block)
+            for block in some:
+                _weigh(docs, block)
 
-        def run(batches: Iterator[pa.RecordBatch], block: ItemBlock = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], some: list[ItemBlock] = some) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                rows = [
-                    (doc_id, *m)
-                    for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-                    for m in block.matches(block.ids_of(words_of(text)), least_bits, least_grams, score)
-                ]
+                rows = []
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    words = words_of(text)
+                    for block in some:
+                        rows += [(doc_id, *m) for m in block.matches(block.ids_of(words), least_bits, least_grams, score)]
                 yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "score", "start_word", "end_word"), r)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int64()), ("end_word", pa.int64())]))
 
         out = out.unionByName(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema))
