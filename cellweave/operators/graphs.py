@@ -155,15 +155,19 @@ def within_radius(points: DataFrame, radius: float, itself: bool = True) -> Data
     return out if itself else out.where("src <> dst")
 
 
-def correlated(x: DataFrame, n_cells: int, threshold: float) -> DataFrame:
+def correlated(x: DataFrame, n_cells: int, threshold: float, pairs: DataFrame | None = None) -> DataFrame:
     """(src, dst, weight): gene pairs whose Pearson correlation is at least the threshold in size.
 
-    Products are summed over the cells that hold both genes; zeros add nothing.
+    Products are summed over the cells that hold both genes; zeros add nothing. pairs:
+    (src, dst) with src < dst, if only some are asked for; the work then follows their
+    entries, else the squares of the entries of the cells. Pairs without a common cell are
+    left out.
     """
     m = x.groupBy("gene").agg((F.sum("value") / n_cells).alias("m"), (F.sum(F.col("value") ** 2) / n_cells).alias("q"))
     m = m.select("gene", "m", F.sqrt(F.greatest(F.col("q") - F.col("m") ** 2, F.lit(0.0))).alias("s"))
     a, b = (x.select("cell", F.col("gene").alias(g), F.col("value").alias(v)) for g, v in (("src", "v"), ("dst", "w")))
-    cross = a.join(b, "cell").where("src < dst").groupBy("src", "dst").agg((F.sum(F.col("v") * F.col("w")) / n_cells).alias("p"))
+    both = a.join(b, "cell").where("src < dst") if pairs is None else pairs.select("src", "dst").join(a, "src").join(b, ["cell", "dst"])
+    cross = both.groupBy("src", "dst").agg((F.sum(F.col("v") * F.col("w")) / n_cells).alias("p"))
     left = m.select(F.col("gene").alias("src"), F.col("m").alias("m1"), F.col("s").alias("s1"))
     right = m.select(F.col("gene").alias("dst"), F.col("m").alias("m2"), F.col("s").alias("s2"))
     r = ratio(F.col("p") - F.col("m1") * F.col("m2"), F.col("s1") * F.col("s2"))

@@ -38,7 +38,7 @@ def gene_set_graph(x: DataFrame, sets: DataFrame, n_cells: int, threshold: float
     """(src, dst, weight): correlated gene pairs that share a set (pathway, gene)."""
     a, b = sets.withColumnRenamed("gene", "src"), sets.withColumnRenamed("gene", "dst")
     pairs = a.join(b, "pathway").where("src < dst").select("src", "dst").distinct()
-    found = correlated(x, n_cells, threshold).join(pairs, ["src", "dst"], "left_semi")
+    found = correlated(x, n_cells, threshold, pairs)
     return found if weight == "pearson" else found.withColumn("weight", F.lit(1.0))
 
 

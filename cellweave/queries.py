@@ -179,10 +179,13 @@ def marker_gini(spark, d):
     return got.select("cell_type", "gene", F.round("score", 9).alias("score"))
 
 
-def _regression(method: str, k: int = 50) -> Callable:
+def _regression(method: str, k: int = 50, places: int | None = None) -> Callable:
     def run(spark, d):
         f = parts(spark, d)
-        return ordering.top_k(filters.regression_scores(f.x, f.var, f.num_cells, method), k, F.desc("score"), "gene").select("gene", *r6("score"))
+        scores = filters.regression_scores(f.x, f.var, f.num_cells, method)
+        if places is not None:
+            scores = scores.withColumn("score", F.round("score", places))
+        return ordering.top_k(scores, k, F.desc("score"), "gene").select("gene", *r6("score"))
 
     run.__name__ = f"regression_{method}"
     return run
@@ -190,7 +193,11 @@ def _regression(method: str, k: int = 50) -> Callable:
 
 query(f"WITH {X}, {CELLS}, {GENES}, {MOMENTS}, t AS (SELECT gene, LN(mean + 1) / LN(2) AS a, LN(100 * (1 - n_positive / (SELECT n FROM n))) / LN(2) AS b FROM m WHERE n_positive > 0 AND n_positive < (SELECT n FROM n)), f AS (SELECT REGR_SLOPE(b, a) AS s, REGR_INTERCEPT(b, a) AS i FROM t) SELECT gene, ROUND(b - s * a - i, 6) AS score FROM t, f ORDER BY b - s * a - i DESC, gene LIMIT 50")(_regression("scmap"))
 query(f"WITH {X}, {CELLS}, {GENES}, {MOMENTS}, t AS (SELECT gene, 1 - n_positive / (SELECT n FROM n) AS a, LN(mean + 1) AS b FROM m WHERE n_positive > 0 AND n_positive < (SELECT n FROM n)), f AS (SELECT REGR_SLOPE(b, a) AS s, REGR_INTERCEPT(b, a) AS i, AVG(b) AS c FROM t) SELECT gene, ROUND(2 * b - s * a - i - c, 6) AS score FROM t, f ORDER BY 2 * b - s * a - i - c DESC, gene LIMIT 50")(_regression("enclasc"))
-query()(_regression("seurat3"))
+# a quadratic by normal equations, solved by determinants
+query(f"""WITH {X}, {CELLS}, {GENES}, {MOMENTS}, t AS (SELECT gene, LN(mean + 1) AS a, LN(variance + 1) AS b FROM m), p AS (SELECT AVG(a) AS p1, AVG(a * a) AS p2, AVG(a * a * a) AS p3, AVG(a * a * a * a) AS p4, AVG(b) AS q0, AVG(a * b) AS q1, AVG(a * a * b) AS q2 FROM t),
+d AS (SELECT *, (p2 * p4 - p3 * p3) - p1 * (p1 * p4 - p2 * p3) + p2 * (p1 * p3 - p2 * p2) AS det FROM p),
+c AS (SELECT (q0 * (p2 * p4 - p3 * p3) - p1 * (q1 * p4 - p3 * q2) + p2 * (q1 * p3 - p2 * q2)) / det AS c0, ((q1 * p4 - p3 * q2) - q0 * (p1 * p4 - p3 * p2) + p2 * (p1 * q2 - q1 * p2)) / det AS c1, ((p2 * q2 - q1 * p3) - p1 * (p1 * q2 - q1 * p2) + q0 * (p1 * p3 - p2 * p2)) / det AS c2 FROM d)
+SELECT gene, ROUND(b - c0 - c1 * a - c2 * a * a, 4) AS score FROM t, c ORDER BY ROUND(b - c0 - c1 * a - c2 * a * a, 4) DESC, gene LIMIT 50""")(_regression("seurat3", 50, 4))
 
 
 @query(f"""WITH {B}, {CELLS}, {BRANDS}, l AS (SELECT cell, gene, LN(1 + value) AS v FROM x), y AS (SELECT cell, gene, EXP(v) - 1 AS value FROM l),
@@ -204,10 +211,12 @@ def hvg_dispersion(spark, d):
     return filters.dispersion(normalize.log1p(f.x), f.var, f.num_cells, 5).select("gene", *r6("mean", "dispersion"), F.round("normalized", 4).alias("normalized"))
 
 
-@query()
+@query(f"""WITH {X}, {CELLS}, {GENES}, {MOMENTS}, t AS (SELECT gene, CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS mean, variance * (SELECT n FROM n) / ((SELECT n FROM n) - 1) / CASE WHEN mean = 0 THEN 1e-12 ELSE mean END AS dispersion FROM m),
+b AS (SELECT t.*, LEN(LIST_FILTER((SELECT QUANTILE_CONT(mean, [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]) FROM t), lambda v: v < mean)) AS bin FROM t), o AS (SELECT *, MEDIAN(dispersion) OVER (PARTITION BY bin) AS mid FROM b), a AS (SELECT *, MEDIAN(ABS(dispersion - mid)) OVER (PARTITION BY bin) AS mad FROM o)
+SELECT gene, ROUND(mean, 6) AS mean, ROUND(dispersion, 6) AS dispersion, ROUND((dispersion - mid) / NULLIF(mad, 0), 4) AS normalized FROM a""")
 def hvg_cell_ranger(spark, d):
     f = parts(spark, d)
-    return filters.dispersion(f.x, f.var, f.num_cells, 20, "cell_ranger").select("gene", *r6("mean", "dispersion", "normalized"))
+    return filters.dispersion(f.x, f.var, f.num_cells, 20, "cell_ranger").select("gene", *r6("mean", "dispersion"), F.round("normalized", 4).alias("normalized"))
 
 
 @query(f"WITH {X}, {CELLS}, t AS (SELECT c.cell, LN(1 + COALESCE(SUM(value), 0)) AS v FROM cells c LEFT JOIN x USING (cell) GROUP BY 1), a AS (SELECT cell, ABS(v - (SELECT MEDIAN(v) FROM t)) AS away FROM t) SELECT cell, away > 3 * (SELECT MEDIAN(away) FROM a) AS outlier FROM a")
