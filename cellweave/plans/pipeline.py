@@ -50,6 +50,19 @@ def dump_config(config: dict, path: str | Path, exists: str = "warn") -> None:
         path.write_text(yaml.safe_dump(config, sort_keys=False))
 
 
+# Packages whose functions a config may name by scope; more are allowed by adding to the set.
+ALLOWED_MODULES = {"cellweave"}
+
+
+def named(target: str, scope: str) -> Callable:
+    """A registered callable, or one of a module of the allowed packages."""
+    if scope.startswith("_registry_"):
+        return resolve(target, scope)
+    if not any(scope == m or scope.startswith(f"{m}.") for m in ALLOWED_MODULES):
+        raise PermissionError(f"configs may not import {scope!r}; add its package to ALLOWED_MODULES")
+    return getattr(importlib.import_module(scope), target)
+
+
 class Action:
     """One element: a registered (or imported) callable with parameters."""
 
@@ -72,7 +85,7 @@ class Action:
     def functional(self) -> Callable:
         if self.skipped:
             return lambda frame: frame
-        found = resolve(self.target, self.scope) if self.scope.startswith("_registry_") else getattr(importlib.import_module(self.scope), self.target)
+        found = named(self.target, self.scope)
         return lambda frame: found(frame, **self.params)
 
     def __call__(self, frame: Any) -> Any:
@@ -181,7 +194,7 @@ class PipelinePlanner:
 
     @staticmethod
     def check(action: Action) -> None:
-        found = resolve(action.target, action.scope) if action.scope.startswith("_registry_") else getattr(importlib.import_module(action.scope), action.target)
+        found = named(action.target, action.scope)
         names = inspect.signature(found).parameters
         if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in names.values()):
             return

@@ -226,7 +226,10 @@ def qc_mad_outliers(spark, d):
     return filters.away_from_median(s, "log_total", 3)
 
 
-@query()
+@query(f"""WITH {X}, {CELLS}, {GENES}, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell ORDER BY value DESC, gene) AS i FROM x), q AS (SELECT cells.cell, COALESCE(SUM(value), 0) AS t, COUNT(value) AS g, COALESCE(SUM(value) FILTER (i <= 20), 0) AS top, COALESCE(SUM(value) FILTER (REGEXP_MATCHES(gene_name, '^(MT-|Mt-|mt-)')), 0) AS mito FROM cells LEFT JOIN o USING (cell) LEFT JOIN genes USING (gene) GROUP BY 1),
+r AS (SELECT cell, LN(1 + t) AS log_total, LN(1 + g) AS log_genes, COALESCE(100 * top / NULLIF(t, 0), 0) AS pct_top, COALESCE(100 * mito / NULLIF(t, 0), 0) AS pct_mito FROM q),
+a AS (SELECT *, ABS(log_total - (SELECT MEDIAN(log_total) FROM r)) AS a1, ABS(log_genes - (SELECT MEDIAN(log_genes) FROM r)) AS a2, ABS(pct_top - (SELECT MEDIAN(pct_top) FROM r)) AS a3, ABS(pct_mito - (SELECT MEDIAN(pct_mito) FROM r)) AS a4 FROM r)
+SELECT cell, ROUND(log_total, 6) AS log_total, ROUND(log_genes, 6) AS log_genes, ROUND(pct_top, 6) AS pct_top FROM a WHERE a1 <= 5 * (SELECT MEDIAN(a1) FROM a) AND a2 <= 5 * (SELECT MEDIAN(a2) FROM a) AND a3 <= 5 * (SELECT MEDIAN(a3) FROM a) AND a4 <= 3 * (SELECT MEDIAN(a4) FROM a) AND pct_mito <= 8""")
 def qc_good_cells(spark, d):
     f = parts(spark, d)
     return filters.good_cells(filters.cell_quality(f.x, f.obs, f.var)).select("cell", *r6("log_total", "log_genes", "pct_top"))

@@ -2,7 +2,7 @@ import pytest
 
 from cellweave.frame import AnnotatedFrame
 from cellweave.operators import transforms  # noqa: F401
-from cellweave.plans.pipeline import SKIP, Pipeline, PipelinePlanner, dump_config, flatten, load_config, subsets, top_configs
+from cellweave.plans.pipeline import SKIP, Action, Pipeline, PipelinePlanner, dump_config, flatten, load_config, subsets, top_configs
 from cellweave.registry import Registry
 from cellweave.sources.readers import cached, read_edges, read_gmt
 
@@ -84,3 +84,9 @@ def test_sources(spark, frame, tmp_path):
         out = cached(spark, str(tmp_path / "cache"), "toy", load, CHAIN, redo=redo)
         assert out.num_genes == 2
     assert len(calls) == 2
+
+
+def test_configs_import_allowed_modules_only():
+    with pytest.raises(PermissionError):
+        Action(type="misc", target="system", scope="os").functional
+    assert Action(type="misc", target="compose", scope="cellweave.operators.transforms").functional
