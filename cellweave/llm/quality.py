@@ -87,12 +87,12 @@ class PositiveUnlabelled:
         w = np.zeros(positives.shape[1], dtype=positives.dtype)
         m, v, total = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
         for t in range(1, steps + 1):
-            p, u = (x[rng.integers(0, len(x), batch)] for x in (positives, unlabelled))
+            p, u = (x if len(x) <= batch else x[rng.integers(0, len(x), batch)] for x in (positives, unlabelled))
             zp, zu = p @ w, u @ w
             sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
             negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            toward = u.T @ su / batch - prior * (p.T @ sp) / batch
-            g = prior * (p.T @ (sp - 1)) / batch + toward if negative >= 0 else -toward
+            toward = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+            g = prior * (p.T @ (sp - 1)) / len(p) + toward if negative >= 0 else -toward
             g = g + ridge * w
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

@@ -494,5 +494,5 @@ def test_quality(spark):
 def test_risk_is_non_negative():
     rng = np.random.default_rng(1)
     p, u = rng.normal(2, 1, (200, 3)), np.vstack([rng.normal(2, 1, (300, 3)), rng.normal(-2, 1, (100, 3))])
-    m = quality.PositiveUnlabelled(p, u, 0.75, ridge=1e-4)
+    m = quality.PositiveUnlabelled(p, u, 0.75, steps=600, rate=0.05, ridge=1e-4)
     assert m.scores(rng.normal(2, 1, (200, 3))).mean() > 0.9 and m.scores(rng.normal(-2, 1, (200, 3))).mean() < 0.1
