@@ -444,11 +444,13 @@ def louvain_labels(spark, d):
     return graphs.louvain(edges, 4)
 
 
-@query()
+@query(f"""WITH {_KNN}, m AS (SELECT src, GREATEST(distance, 1e-12) AS mid FROM k WHERE rank = 5), d AS (SELECT k.src, dst, distance / mid AS d FROM k JOIN m ON m.src = k.src), b AS (SELECT src, dst, EXP(-POWER(SUM(d), 2)) AS w FROM (SELECT src, dst, d FROM d UNION ALL SELECT dst, src, d FROM d) GROUP BY 1, 2),
+l AS (SELECT src, dst, w FROM b UNION ALL SELECT DISTINCT src, src, 1.0 FROM b), u AS (SELECT src, dst, w / SUM(w) OVER (PARTITION BY src) AS w FROM l), v AS (SELECT cell, UNNEST(RANGE(64)) AS gene, UNNEST(vec) AS value FROM e),
+o AS (SELECT src AS cell, gene, SUM(w * value) AS value FROM u JOIN v ON v.cell = dst GROUP BY 1, 2) SELECT src AS cell, gene, ROUND(SUM(w * value), 6) AS value FROM u JOIN o ON o.cell = dst GROUP BY 1, 2""")
 def diffusion_imputation(spark, d):
     v = vectors(spark, d)
     x = v.select("cell", F.posexplode("vec").alias("gene", "value"))
-    return models.diffused(x, graphs.nearest(v.drop("label"), 10), 2)
+    return models.diffused(x, graphs.nearest(v.drop("label"), 10), 2).select("cell", F.col("gene").cast("long").alias("gene"), *r6("value"))
 
 
 @query(f"WITH {B}, {CELLS}, p AS (SELECT x.cell, gene, value, cell_type FROM x JOIN cells USING (cell) WHERE value > 0), f AS (SELECT *, RANK() OVER (PARTITION BY gene ORDER BY value) + (COUNT(*) OVER (PARTITION BY gene, value) - 1) / 2 AS rk, COUNT(*) OVER (PARTITION BY gene) AS m FROM p), k AS (SELECT cell_type, COUNT(*) AS size FROM cells GROUP BY 1), s AS (SELECT cell_type, gene, SUM(rk + (SELECT n FROM n) - m) AS s, COUNT(*) AS c, MAX(m) AS m FROM f GROUP BY 1, 2) SELECT cell_type, gene, ROUND(s + (size - c) * ((SELECT n FROM n) - m + 1) / 2, 6) AS rank_sum FROM s JOIN k USING (cell_type)")
@@ -886,15 +888,18 @@ def pseudo_spots(spark, d):
     return spatial.pseudo_spots(f.x, f.obs, "cell_type", 300)[1]
 
 
-@query()
+@query(f"""WITH {B}, {CELLS}, {BRANDS}, {MOMENTS}, h AS (SELECT SUM(mean * mean * (variance - mean)) / SUM(POWER(mean, 4)) AS phi FROM m), f AS (SELECT cell, gene, LN(COALESCE(value, 0) + 1 / (2 * phi)) AS value FROM cells CROSS JOIN genes CROSS JOIN h LEFT JOIN x USING (cell, gene)),
+t AS (SELECT cells.cell, COALESCE(LN(SUM(value)), 0) AS c FROM cells LEFT JOIN x USING (cell) GROUP BY 1), g AS (SELECT gene, REGR_SLOPE(value, c) AS s, REGR_INTERCEPT(value, c) AS i FROM f JOIN t USING (cell) GROUP BY 1)
+SELECT cell, gene, ROUND(value - s * c - i, 5) AS value FROM f JOIN t USING (cell) JOIN g USING (gene)""")
 def stabilized_residuals(spark, d):
-    return transforms.stabilized_residuals(brands(spark, d)).layers["SpatialIDEFeature"]
+    return transforms.stabilized_residuals(brands(spark, d)).layers["SpatialIDEFeature"].select("cell", "gene", F.round("value", 5).alias("value"))
 
 
 # Mining of results: customers stand for runs, their balance for the score -----
 
 
-@query()
+@query("""WITH r AS (SELECT 'segment=' || c_mktsegment AS a, 'nation=' || c_nationkey AS b FROM customer WHERE c_acctbal >= (SELECT QUANTILE_CONT(c_acctbal, 0.8) FROM customer)), i AS (SELECT a AS items FROM r UNION ALL SELECT b FROM r UNION ALL SELECT LEAST(a, b) || ',' || GREATEST(a, b) FROM r)
+SELECT items, COUNT(*) AS freq FROM i GROUP BY 1 HAVING COUNT(*) >= CEIL(0.05 * (SELECT COUNT(*) FROM r))""")
 def frequent_choices(spark, d):
     runs = read(spark, d, "customer")[0].select(F.array(F.concat(F.lit("segment="), "c_mktsegment"), F.concat(F.lit("nation="), F.col("c_nationkey").cast("string"))).alias("items"), "c_acctbal")
     return results.frequent_choices(runs, "items", "c_acctbal", 0.2, 0.05).select(F.array_join(F.sort_array("items"), ",").alias("items"), "freq")
