@@ -670,6 +670,12 @@ def sim_common_genes(spark, d):
     return similarity.common_genes(side("A"), side("R"))
 
 
+@query(f"WITH {_PAIRS} SELECT 'cosine' AS method, ROUND(AVG(LIST_COSINE_SIMILARITY(a.vec, b.vec)), 6) AS similarity FROM a, b UNION ALL SELECT 'energy', ROUND(1 / (1 + GREATEST(0, 2 * (SELECT AVG(LIST_DISTANCE(a.vec, b.vec)) FROM a, b) - (SELECT AVG(LIST_DISTANCE(a.vec, c.vec)) FROM a, a c) - (SELECT AVG(LIST_DISTANCE(b.vec, c.vec)) FROM b, b c))), 6)")
+def sim_runs(spark, d):
+    found = similarity.similarities(*_halves(spark, d), ["cosine", "energy"], 64, n_runs=2)
+    return spark.createDataFrame([(m, round(v, 6)) for m, v in found.items()], "method string, similarity double")
+
+
 # Pipelines and streams -------------------------------------------------------
 
 

@@ -1,3 +1,4 @@
+# Inputs and answers written out in these tests are fixed values.
 import pytest
 from pyspark.sql import functions as F
 

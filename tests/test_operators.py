@@ -1,3 +1,4 @@
+# Inputs and answers written out in these tests are fixed values.
 import math
 
 import numpy as np
@@ -224,3 +225,20 @@ def test_louvain_finds_two_cliques(spark):
     e = [(a + o, b + o, 1.0) for o in (0, 10) for a in range(5) for b in range(a + 1, 5)] + [(4, 10, 1.0)]
     labels = {r.cell: r.label for r in graphs.louvain(spark.createDataFrame(e, "src long, dst long, weight double"), 6).collect()}
     assert len({labels[i] for i in range(5)}) == 1 and len({labels[i] for i in range(10, 15)}) == 1
+
+
+def test_similarity_runs(spark, counts):
+    from cellweave.frame import AnnotatedFrame
+    from cellweave.operators import similarity, transforms
+
+    f = AnnotatedFrame(long(spark, counts), axis(spark, 20, "cell"), axis(spark, 12, "gene"))
+    halves = [f.keep_cells(f.obs.where(f"cell % 2 = {k}")) for k in (0, 1)]
+    a, b = similarity.prepared(*halves, n_top_genes=8, min_counts=1)
+    genes = sorted(r.gene for r in a.var.select("gene").collect())
+    assert genes == sorted(r.gene for r in b.var.select("gene").collect()) and 0 < len(genes) <= 8
+    x, y = transforms.dense(a), transforms.dense(b)
+    got = similarity.similarities(x, y, ["cosine", "chamfer"], len(genes), n_runs=2, sample_size=6)
+    runs = [[similarity.VECTOR_METHODS[m](similarity.sampled(x, 6, k), similarity.sampled(y, 6, k), len(genes)) for k in (0, 1)] for m in ("cosine", "chamfer")]
+    assert np.allclose([got["cosine"], got["chamfer"]], np.mean(runs, axis=1))
+    with pytest.raises(ValueError):
+        similarity.similarities(x, y, ["other"], 3)
