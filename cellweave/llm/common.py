@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -70,6 +71,12 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does once the driver has collected their objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
