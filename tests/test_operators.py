@@ -242,3 +242,20 @@ def test_similarity_runs(spark, counts):
     assert np.allclose([got["cosine"], got["chamfer"]], np.mean(runs, axis=1))
     with pytest.raises(ValueError):
         similarity.similarities(x, y, ["other"], 3)
+
+
+def test_distance_tables_are_not_dealt_out(spark):
+    v = spark.range(300).select(F.col("id").alias("cell"), F.array(*(F.sin(F.col("id") * (k + 1)) for k in range(12))).alias("vec"))
+    x = np.array([r.vec for r in v.orderBy("cell").collect()])
+    out = graphs.pair_distances(v, block=64, digits=6)
+    meet = out._jdf.queryExecution().executedPlan().toString().split("CartesianProduct")
+    assert len(meet) > 1 and "cogroup" not in meet[0].lower() and "Exchange" not in meet[0]
+    got = {(r.src, r.dst): r.distance for r in out.collect()}
+    far = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(2))
+    assert len(got) == 300 * 300 and max(abs(got[i, j] - far[i, j]) for i in range(300) for j in range(300)) < 5.1e-7
+
+
+def test_close_and_equal_vectors_far_from_the_origin(spark):
+    rows = [(k, [1e6 + k * 1e-4] * 12) for k in range(4)] + [(4, [1e6] * 12)]
+    got = {(r.src, r.dst): r.distance for r in graphs.pair_distances(spark.createDataFrame(rows, "cell long, vec array<double>")).collect()}
+    assert got[0, 4] == 0.0 and abs(got[0, 3] - 3e-4 * 12**0.5) < 1e-8
