@@ -828,7 +828,7 @@ def spagcn_distances(spark, d):
 SELECT a.cell AS src, b.cell AS dst, ROUND(GREATEST(0, LIST_COSINE_SIMILARITY(a.m, b.m)) * LIST_COSINE_SIMILARITY(a.g, b.g), 6) + 0.0 AS weight FROM c a, c b WHERE SQRT(POWER(a.px - b.px, 2) + POWER(a.py - b.py, 2)) < 0.05""")
 def morphology_weights(spark, d):
     v, half = vectors(spark, d), lambda a: F.slice("vec", a, 32).alias("vec")
-    return graphs.morphology_weights(points(spark, d), 0.05, v.select("cell", half(1)), v.select("cell", half(33))).select("src", "dst", (F.round("weight", 6) + 0.0).alias("weight"))
+    return graphs.morphology_weights(points(spark, d), 0.05, v.select("cell", half(1)), v.select("cell", half(33)), digits=6)
 
 
 @query(f"WITH {_KNN.replace(' WHERE a.cell <> b.cell', '').replace('rank <= 10', 'rank <= 6')} SELECT src, dst, rank FROM k")

@@ -259,3 +259,14 @@ def test_close_and_equal_vectors_far_from_the_origin(spark):
     rows = [(k, [1e6 + k * 1e-4] * 12) for k in range(4)] + [(4, [1e6] * 12)]
     got = {(r.src, r.dst): r.distance for r in graphs.pair_distances(spark.createDataFrame(rows, "cell long, vec array<double>")).collect()}
     assert got[0, 4] == 0.0 and abs(got[0, 3] - 3e-4 * 12**0.5) < 1e-8
+
+
+def test_morphology_of_null_and_constant_vectors(spark):
+    p = spark.createDataFrame([(k, 0.0, 0.1 * k) for k in range(4)] + [(4, None, 0.0)], "cell long, px double, py double")
+    m = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [1.0, None]), (4, [1.0, 0.0])], "cell long, vec array<double>")
+    g = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 4.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [1.0, 2.0])], "cell long, vec array<double>")
+    out = graphs.morphology_weights(p, 0.25, m, g)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.src, r.dst): r.weight for r in out.collect()}
+    assert set(got) == {(i, j) for i in range(4) for j in range(4) if abs(i - j) < 3}
+    assert abs(got[0, 1] - 0.5**0.5) < 1e-12 and got[0, 2] == 0.0 and got[3, 2] == 0.0 and abs(got[1, 1] - 1) < 1e-12
