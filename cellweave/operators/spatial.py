@@ -48,13 +48,24 @@ def row_mass(edges: DataFrame, n_cells: int, length: float) -> DataFrame:
 
 
 def length_scale(edges: DataFrame, n_cells: int, target: float, low: float = 1e-3, high: float = 1e3, tolerance: float = 1e-3, rounds: int = 60) -> float:
-    """The length at which the row mass is the target, by bisection; each step is one aggregate."""
-    from .ordering import written
+    """The length at which the row mass is the target, by bisection.
 
-    edges = written(edges.where("src <> dst").select("src", "dst", "distance"))
+    One aggregate gives the number of edges by squared distance, 256 bins to a doubling,
+    and in each bin the first three moments about its middle. The mass at a length is the
+    series of exp around the middles, within 1e-12 of the sum over edges for each of them.
+    """
+    square = F.col("distance") * F.col("distance")
+    rows = edges.where("src <> dst").select(square.alias("q"), F.floor(F.log2(square) * 256).alias("bin"))
+    t = F.col("q") / F.pow(F.lit(2.0), (F.col("bin") + 0.5) / 256) - 1
+    sums = rows.groupBy("bin").agg(F.count("*").alias("n"), F.sum(t).alias("s1"), F.sum(t * t).alias("s2"), F.sum(t * t * t).alias("s3")).collect()
+    same = sum(r.n for r in sums if r.bin is None)  # log2(0) is null
+    parts = sorted(r for r in map(tuple, sums) if r[0] is not None)
+    bins, n, s1, s2, s3 = np.array(parts, dtype=np.float64).reshape(-1, 5).T
+    middles = np.exp2((bins + 0.5) / 256)
     for _ in range(rounds):
         middle = (low + high) / 2
-        p = row_mass(edges, n_cells, middle).first().p or 0.0
+        x = middles / (2 * middle * middle)
+        p = (same + float((np.exp(-x) * (n - x * s1 + x * x * s2 / 2 - x**3 * s3 / 6)).sum())) / n_cells
         if abs(p - target) <= tolerance:
             break
         low, high = (middle, high) if p < target else (low, middle)

@@ -270,3 +270,10 @@ def test_morphology_of_null_and_constant_vectors(spark):
     got = {(r.src, r.dst): r.weight for r in out.collect()}
     assert set(got) == {(i, j) for i in range(4) for j in range(4) if abs(i - j) < 3}
     assert abs(got[0, 1] - 0.5**0.5) < 1e-12 and got[0, 2] == 0.0 and got[3, 2] == 0.0 and abs(got[1, 1] - 1) < 1e-12
+
+
+def test_many_points_at_one_place_come_in_blocks(spark):
+    p = spark.range(1500).select(F.col("id").alias("cell"), F.lit(0.5).alias("px"), F.when(F.col("id") < 1400, 0.5).otherwise(F.col("id") * 1.0).alias("py"))
+    out = graphs.within_radius(p, 0.25)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1400 * 1400 + 100 and graphs.within_radius(p, 0.25, itself=False).count() == 1400 * 1399

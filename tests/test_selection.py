@@ -103,3 +103,20 @@ def test_similarities(two):
         assert 0 < f(da, db) <= 1 and f(da, da) > f(da, db) - 1e-9
     assert abs(similarity.bures(da, da)) < 1e-3 and 0 <= similarity.mean_pairs(da, db, "js") <= 1 and 0 <= similarity.mean_pairs(da, db, "jaccard") <= 1
     assert similarity.metadata_similarity({"t": {"x"}, "n": 4}, {"t": {"x", "y"}, "n": 2}) == 0.5
+
+
+def test_length_scale_equals_plain_bisection(spark):
+    xy = np.concatenate([np.random.default_rng(3).random((300, 2)), np.full((20, 2), 0.5)])
+    d = np.sqrt(((xy[:, None] - xy[None, :]) ** 2).sum(2))
+    own = d[(d <= 0.3) & ~np.eye(len(xy), dtype=bool)]
+    low, high = 1e-3, 1e3
+    for _ in range(60):
+        middle = (low + high) / 2
+        p = np.exp(-(own**2) / (2 * middle**2)).sum() / len(xy)
+        if abs(p - 3.0) <= 1e-3:
+            break
+        low, high = (middle, high) if p < 3.0 else (low, middle)
+    pts = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(xy)], "cell long, px double, py double")
+    edges = graphs.within_radius(pts, 0.3)
+    assert edges._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
+    assert spatial.length_scale(edges, len(xy), 3.0) == middle
