@@ -787,8 +787,8 @@ def marker_tests(spark, d):
 @query()
 def doublet_scores(spark, d):
     f = brands(spark, d)
-    made = lambda x, cells: features.projected(transforms.dense(f.replace(x=normalize.total_log1p(x, 1e4, 1.0), obs=cells)), 8)
-    return selection.doublet_scores(f.x, f.obs, made)
+    made = lambda rows: features.projected(ordering.written(transforms.normalized_rows(rows, f.num_genes, 1e4)), 8)
+    return selection.doublet_scores(transforms.entries(f), made)
 
 
 @query("WITH r AS (SELECT c_mktsegment AS g, RANK() OVER (ORDER BY c_acctbal) + (COUNT(*) OVER (PARTITION BY c_acctbal) - 1) / 2 AS rk FROM customer), s AS (SELECT SUM(s * s / k) AS h, SUM(k) AS n FROM (SELECT SUM(rk) AS s, COUNT(*) AS k FROM r GROUP BY g)), t AS (SELECT SUM(POWER(t, 3) - t) AS t FROM (SELECT COUNT(*) AS t FROM customer GROUP BY c_acctbal)) SELECT ROUND((12 * h / (n * (n + 1)) - 3 * (n + 1)) / (1 - t / (POWER(n, 3) - n)), 5) AS h FROM s, t")
